@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["pii", "bpe", "secrets"]
+MODULES = ["pii", "exact", "bpe", "secrets"]
 
 
 def collect() -> tuple[dict, dict]:
