@@ -14,13 +14,13 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 def write_bytes(uri: str, data: bytes) -> None:
     store, path = opened(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
 def read_bytes(uri: str) -> bytes:
     store, path = opened(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

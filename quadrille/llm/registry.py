@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["pii", "exact", "simhash", "bpe", "secrets"]
+MODULES = ["decontaminate", "pii", "warc", "exact", "simhash", "bpe", "secrets"]
 
 
 def collect() -> tuple[dict, dict]:
