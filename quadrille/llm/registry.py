@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "pii", "warc", "exact", "simhash", "quality", "language", "bpe", "secrets"]
+MODULES = ["decontaminate", "pii", "warc", "exact", "substring", "simhash", "quality", "language", "bpe", "secrets"]
 
 
 def collect() -> tuple[dict, dict]:
