@@ -198,6 +198,29 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
 
 
+def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The columns of docs but text, n_tokens, token_ids, and whether the ids decode to the bytes of the text."""
+    common.ship(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "round_trip")]
+    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("n_tokens", "long").add("token_ids", "array<int>").add("round_trip", "boolean")
+
+    def run(batches):
+        codec = Codec.load(path, pattern)
+        for b in batches:
+            size, parts = 0, []
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                ids = codec.encode(text or "")
+                parts.append((k, len(ids), ids, codec.decode(ids) == (text or "").encode()))
+                size += len(ids)
+                if size > 1_000_000 or k == b.num_rows - 1:
+                    at, n, lists, same = zip(*parts, strict=True)
+                    columns = [c.slice(at[0], len(at)) for c in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(same)], names=[*keep, "n_tokens", "token_ids", "round_trip"])
+                    size, parts = 0, []
+
+    return docs.select(*[f"`{c}`" for c in keep], "text").mapInArrow(run, schema)
+
+
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of docs."""
 
