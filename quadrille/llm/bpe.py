@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quadrille.llm import common
 
@@ -172,7 +173,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """docs with an array of token ids added; `ids` names the new column and replaces one of that name."""
     common.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(ids, "array<int>")
+    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
         codec = Codec.load(path, pattern)
@@ -202,7 +203,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of docs but text, n_tokens, token_ids, and whether the ids decode to the bytes of the text."""
     common.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "round_trip")]
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("n_tokens", "long").add("token_ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean")
 
     def run(batches):
         codec = Codec.load(path, pattern)
