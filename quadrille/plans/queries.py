@@ -423,10 +423,13 @@ def merge_bounds(v: View) -> DataFrame:
     return v("tilesets").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "z0")], *[F.max(c).alias(c) for c in ("x1", "y1", "z1", "geometric_error")], F.count("*").alias("n"))
 
 
-@query("select cx, cy, n, round(sx / n, 6) as x, round(sy / n, 6) as y from (select cast(floor(lon * 50e0) as bigint) as cx, cast(floor(lat * 50e0) as bigint) as cy, count(*) as n, sum(lon) as sx, sum(lat) as sy from points group by 1, 2) where n >= 2")
+@query("select cx, cy, n, cast(sx as double) / cast(n * 10000 as double) as x, cast(sy as double) / cast(n * 10000 as double) as y from (select cast(floor(lon * 50e0) as bigint) as cx, cast(floor(lat * 50e0) as bigint) as cy, count(*) as n, sum(cast(round(lon * 10000e0) as bigint)) as sx, sum(cast(round(lat * 10000e0) as bigint)) as sy from points group by 1, 2) where n >= 2")
 def vertex_cluster_mean(v: View) -> DataFrame:
-    cells = v("points").groupBy(F.floor(F.col("lon") * 50.0).alias("cx"), F.floor(F.col("lat") * 50.0).alias("cy")).agg(F.count("*").alias("n"), F.sum("lon").alias("sx"), F.sum("lat").alias("sy"))
-    return cells.filter("n >= 2").select("cx", "cy", "n", F.round(F.col("sx") / F.col("n"), 6).alias("x"), F.round(F.col("sy") / F.col("n"), 6).alias("y"))
+    """Mean of the vertices of a cell, from sums of whole ten-thousandths that do not depend on their order."""
+    whole = lambda c: F.sum(F.round(F.col(c) * 10000.0).cast("bigint")).cast("double")
+    cells = v("points").groupBy(F.floor(F.col("lon") * 50.0).alias("cx"), F.floor(F.col("lat") * 50.0).alias("cy")).agg(F.count("*").alias("n"), whole("lon").alias("sx"), whole("lat").alias("sy"))
+    size = (F.col("n") * 10000).cast("double")
+    return cells.filter("n >= 2").select("cx", "cy", "n", (F.col("sx") / size).alias("x"), (F.col("sy") / size).alias("y"))
 
 
 @query("select cast(min(floor(lon * 50e0)) as bigint) as x0, cast(max(floor(lon * 50e0)) as bigint) as x1, cast(min(floor(lat * 50e0)) as bigint) as y0, cast(max(floor(lat * 50e0)) as bigint) as y1 from points")
