@@ -88,23 +88,47 @@ def point_lod_tree(points: DataFrame, x: str, y: str, z: str, order: list[str],
     return out.withColumnRenamed("code", "node_code").drop("nx0", "nx1", "ny0", "ny1", "nz0", "nz1")
 
 
-def counted_tree(items: DataFrame, kind: str, x: str, y: str, z: str | None, box: tuple[float, ...], most: int, depth: int, weight: str | None = None, cut=None) -> DataFrame:
-    """items with node_code: a node whose count (or sum of weight) exceeds `most` splits at its midpoints, down to `depth`.
+def path_code(depth: int, kind: str, x: str, y: str, z: str | None, box: tuple[float, ...]) -> Column:
+    """Code of an item `depth` levels below the root "R", in closed form: the bits of its cell, one digit a level.
 
-    All levels' codes are bit arithmetic on the item, so every prefix is counted in one aggregation, and an item
-    stops at its first prefix that is small enough.
+    The same splits as `descend`, without its loop. An expression of fixed size for any depth.
     """
     x0, y0, z0, x1, y1, z1 = (float(v) for v in box)
-    start = items.select("*", F.lit("R").alias("code"), *[F.lit(v).alias(n) for n, v in zip(("nx0", "nx1", "ny0", "ny1", *(("nz0", "nz1") if z else ())), (x0, x1, y0, y1, z0, z1), strict=False)])
-    full = descend(start, depth, kind, x, y, z).select(*items.columns, F.col("code").alias("_full"))
-    if cut is not None:
-        full = cut(full)
+
+    def cell(c: str, low: float, high: float) -> Column:
+        t = (F.col(c) - low) / (high - low) * float(1 << depth)
+        k = F.floor(t) if kind == "ring" else F.ceil(t) - 1
+        return F.greatest(F.lit(0), F.least(F.lit((1 << depth) - 1), k)).cast("bigint")
+
+    bit = lambda c, k: F.floor(c / F.pow(F.lit(2.0), k)).cast("bigint") % 2
+    east, north = cell(x, x0, x1), cell(y, y0, y1)
+    high = cell(z, z0, z1) if z else None
+
+    def digit(k):
+        a, b = bit(east, k), bit(north, k)
+        ring = F.when(b == 1, F.when(a == 1, 2).otherwise(3)).otherwise(F.when(a == 1, 1).otherwise(0))
+        if kind == "quad":
+            return ring.cast("string")
+        if kind == "ring":
+            return (ring + bit(high, k) * 4).cast("string")
+        return F.substring(F.lit("ACBDEGFH"), (bit(high, k) * 4 + a * 2 + b + 1).cast("int"), F.lit(1))
+
+    if depth == 0:
+        return F.lit("R")
+    return F.concat(F.lit("R"), F.array_join(F.transform(F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1)), digit), ""))
+
+
+def counted_tree(items: DataFrame, kind: str, x: str, y: str, z: str | None, box: tuple[float, ...], most: int, depth: int, weight: str | None = None) -> DataFrame:
+    """items with node_code: a node whose count (or sum of weight) exceeds `most` splits at its midpoints, down to `depth`.
+
+    All levels' codes are bit arithmetic on the item, so every prefix is counted in one aggregation (items are combined
+    by full code first), and an item stops at its first prefix that is small enough.
+    """
+    full = items.withColumn("_full", path_code(depth, kind, x, y, z, box))
     sums = full.groupBy("_full").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-    prefixes = sums.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_full")), lambda n: F.substr("_full", F.lit(1), n))).alias("_prefix"), "_n")
-    heavy = prefixes.groupBy("_prefix").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > most).select("_prefix")
-    chosen = sums.select("_full", F.explode(F.transform(F.sequence(F.lit(1), F.length("_full")), lambda n: F.substr("_full", F.lit(1), n))).alias("_prefix")).join(heavy, "_prefix", "left_semi")
-    depth_of = chosen.groupBy("_full").agg(F.max(F.length("_prefix")).alias("_deep"))
-    out = full.join(depth_of, "_full", "left")
+    heavy = sums.select(F.explode(prefixes("_full")).alias("_prefix"), "_n").groupBy("_prefix").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > most).select("_prefix")
+    deepest = sums.select("_full", F.explode(prefixes("_full")).alias("_prefix")).join(heavy, "_prefix", "left_semi").groupBy("_full").agg(F.max(F.length("_prefix")).alias("_deep"))
+    out = full.join(deepest, "_full", "left")
     return out.select(*items.columns, F.substr("_full", F.lit(1), F.least(F.length("_full"), F.coalesce("_deep", F.lit(0)) + 1)).alias("node_code"))
 
 
