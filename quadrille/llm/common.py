@@ -85,3 +85,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def by_id(df: DataFrame, parts: int, column: str) -> DataFrame:
+    """df in `parts` partitions, that of a row given by a column of numbers from 0."""
+    if hasattr(df, "repartitionById"):
+        return df.repartitionById(parts, column)
+    return df.repartition(parts, column)

@@ -204,8 +204,7 @@ def groups_of(entries: DataFrame, bucket: int = BUCKET, page: int = PAGE) -> Dat
     heads = entries.filter(F.col("key").isNotNull()).select(*_ENTRY.names)
     # one range of the top bits of the key for each owner; hashes fill them evenly, and a group is a few entries
     ranged = heads.withColumn("owner", F.expr(f"cast(floor((shiftright(key, 32) + 2147483648D) / 4294967296D * {parts}) as int)"))
-    owned = ranged.repartitionById(parts, "owner") if hasattr(ranged, "repartitionById") else ranged.repartition(parts, "owner")
-    return owned.select(*_ENTRY.names).mapInArrow(own, "entry long, keep_entry long, keep_id long, group_size long")
+    return common.by_id(ranged, parts, "owner").select(*_ENTRY.names).mapInArrow(own, "entry long, keep_entry long, keep_id long, group_size long")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -164,17 +164,16 @@ def owned(rows: DataFrame, nb: int, every: bool) -> DataFrame:
     parts = common.shuffle_parts(rows.sparkSession)
 
     def own(b, held):
-        out = [(b, 0, p) for kind, p in held if kind == 1]
+        if out := [(b, 0, p) for kind, p in held if kind == 1]:
+            yield _rows(out)
         got = [unpack(p) for kind, p in held if kind == 0]
         if got:
             raw, docs, at = (np.concatenate(c) for c in zip(*got, strict=True))
             h, h2 = _from_bytes(raw)
             settled, _ = _local(h, h2, docs, at, every)
-            out += dealt(0, doc_bucket(docs[settled], nb), np.empty((len(settled), 0), np.uint8), docs[settled], at[settled])
-        if out:
-            yield _rows(out)
+            yield _rows(list(dealt(0, doc_bucket(docs[settled], nb), np.empty((len(settled), 0), np.uint8), docs[settled], at[settled])))
 
-    return rows.repartition(parts, "b").sortWithinPartitions("b", "kind").mapInArrow(lambda batches: _grouped(batches, own), _ROW)
+    return common.by_id(rows, parts, "b").sortWithinPartitions("b", "kind").mapInArrow(lambda batches: _grouped(batches, own), _ROW)
 
 
 def anchors(docs: DataFrame, nb: int) -> DataFrame:
@@ -236,7 +235,7 @@ def _met(found: DataFrame, docs: DataFrame, fn: Callable, columns: list[str], sc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=list(names))
 
-    both = left.unionByName(right).repartition(parts, "b").sortWithinPartitions("b", "kind")
+    both = common.by_id(left.unionByName(right), parts, "b").sortWithinPartitions("b", "kind")
     return both.mapInArrow(run, schema)
 
 
@@ -307,7 +306,7 @@ def _finish(starts, doc, blob):
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs; with_text adds the kept words of documents that lost some."""
     spark = docs.sparkSession
-    nb = 4 * common.shuffle_parts(spark)
+    nb = common.shuffle_parts(spark)  # a bucket for each task: more would make small rows, one for each two buckets
     texts = common.texts_of(docs)
     flagged = owned(anchors(texts, nb), nb, True)
     judged = common.materialise(_met(flagged, texts.withColumn("b", doc_bucket_column(F.col("doc_id"), nb)), _judge, ["doc_id", "text"], _JUDGED), "judged")
