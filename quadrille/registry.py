@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.plans import queries
+from quadrille.plans import mesh_queries, queries
 
-QUERIES: dict = dict(queries.QUERIES)
-SQL: dict[str, str] = dict(queries.SQL)
+QUERIES: dict = queries.QUERIES | mesh_queries.QUERIES
+SQL: dict[str, str] = queries.SQL | mesh_queries.SQL
