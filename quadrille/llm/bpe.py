@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quadrille.llm import common
 
 #: Entries of the cache of encoded pieces and of the memo of token pairs, in one worker.
-CACHE = 800_000
+CACHE = 200_000
 #: Characters above which a text is split piece by piece instead of all at once.
 LONG_TEXT = 1_000_000
 
