@@ -19,8 +19,15 @@ _scratch: dict[str, list[str]] = {}
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10000: texts are long, and a task holds a few batches at once.
+BATCH_ROWS = 1000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application; hold Arrow batches to BATCH_ROWS unless the session sets its own."""
+    if spark.conf.get(_ROWS_KEY, "10000") == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -31,7 +31,7 @@ DIM, EPOCHS, RATE = 12, 12, 2.0
 CHARS = (3, 4)
 KEEP = 0.7
 #: Bytes of text handled at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 KINDS = len(CHARS) + 2
 
 
