@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quadrille.functions import geo
 from quadrille.operators import filters, tiling
+from quadrille.plans.flows import checkpointer
 from quadrille.plans.views import view, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -757,7 +758,8 @@ def sql_point_tree(levels: int, root: int, most: int) -> str:
 
 @query(sql_point_tree(4, 50, 400))
 def point_lod_tree(v: View) -> DataFrame:
-    out = tiling.point_lod_tree(v("points"), "lon", "lat", "h", POINT_ORDER, ROOT, 50, 400, depth=4)
+    points = v("points")
+    out = tiling.point_lod_tree(points, "lon", "lat", "h", POINT_ORDER, ROOT, 50, 400, depth=4, cut=checkpointer(points.sparkSession))
     return out.select(*POINT_KEY, "node_code")
 
 
