@@ -75,15 +75,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, written once with _row: a key of each row, whatever its doc_id."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def first_of_each(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """keyed rows without those of a group (labels: row, root) but the one of the smallest doc_id, null last; rows without a group stay."""
+    named = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("id")).join(labels, "row")
+    stay = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select(F.col("m.row").alias("row"))
+    gone = materialise(labels.join(stay, "row", "left_anti").select(F.col("row").alias("_row")), "gone")
+    return rows.join(gone, "_row", "left_anti")
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over just these columns."""
     ship(df.sparkSession)
     return df.select(*columns).mapInArrow(fn, schema)
 
 
-def texts_of(df: DataFrame) -> DataFrame:
-    """doc_id and text of documents, null text as empty."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts_of(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text of documents, null text as empty; then the key columns."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

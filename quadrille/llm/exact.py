@@ -141,9 +141,11 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def entries_of(docs: DataFrame) -> DataFrame:
-    """One row per document: its entry, digest, whether it is the entry's best row; the first row of an entry holds the entry."""
-    names = ["doc_id", "entry", "best_row", "text_sha256", "key", "rows", "best_len", "best_id", "body"]
+def entries_of(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its entry, digest, whether it is the entry's best row; the first row of an entry holds the entry.
+
+    keys: columns of longs that are passed on."""
+    names = [*keys, "doc_id", "entry", "best_row", "text_sha256", "key", "rows", "best_len", "best_id", "body"]
 
     def run(batches):
         made = TaskContext.get().partitionId() << 40
@@ -178,10 +180,10 @@ def entries_of(docs: DataFrame) -> DataFrame:
                 pa.array([None if k is None else ids[tops[k]] for k in heads], pa.int64()),
                 pa.array([None if k is None else pack(text_of[k]) for k in heads], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *columns], names=names)
 
-    schema = "doc_id long, entry long, best_row boolean, text_sha256 string, key long, rows long, best_len long, best_id long, body binary"
-    return common.map_rows(common.texts_of(docs), ["doc_id", "text"], schema, run)
+    schema = "".join(f"{k} long, " for k in keys) + "doc_id long, entry long, best_row boolean, text_sha256 string, key long, rows long, best_len long, best_id long, body binary"
+    return common.map_rows(common.texts_of(docs, keys), ["doc_id", "text", *keys], schema, run)
 
 
 def groups_of(entries: DataFrame, bucket: int = BUCKET, page: int = PAGE) -> DataFrame:
@@ -207,22 +209,22 @@ def groups_of(entries: DataFrame, bucket: int = BUCKET, page: int = PAGE) -> Dat
     return common.by_id(ranged, parts, "owner").select(*_ENTRY.names).mapInArrow(own, "entry long, keep_entry long, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    entries = common.materialise(entries_of(docs), "entries")
+def exact_groups(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
+    entries = common.materialise(entries_of(docs, keys), "entries")
     groups = common.materialise(groups_of(entries), "groups")
     return (
-        entries.select("doc_id", "entry", "best_row", "text_sha256")
+        entries.select(*keys, "doc_id", "entry", "best_row", "text_sha256")
         .join(groups, "entry")
-        .select("doc_id", "keep_id", "group_size", (F.col("best_row") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), "text_sha256")
+        .select(*keys, "doc_id", "keep_id", "group_size", (F.col("best_row") & (F.col("entry") == F.col("keep_entry"))).alias("kept"), "text_sha256")
     )
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row keeps. doc_id names the document: rows of one id stay or go together."""
-    ids = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    gone = common.materialise(ids, "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """docs without the rows whose text another row keeps, decided for each row by a key of its own."""
+    rows = common.keyed(docs)
+    gone = common.materialise(exact_groups(rows, ("_row",)).filter("not kept").select("_row"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,10 +195,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; rows without a doc_id stay."""
-    found = near_groups(docs, width, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = common.materialise(found, "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs with one row, that of the smallest doc_id (null last), of each component; each row is decided by a key of its own."""
+    rows = common.keyed(docs)
+    found = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius)
+    return common.first_of_each(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))).select(*docs.columns)
 
 
 QUERIES: dict[str, Callable] = {"op6_simhash": op6_simhash}

@@ -49,6 +49,12 @@ def test_repeated_rows_keep_one(spark):
     assert sum(r.kept for r in got) == 1 and {(r.keep_id, r.group_size) for r in got} == {(1, 6)}
 
 
+def test_drop_decides_each_row(spark):
+    rows = [(1, "a b")] * 3 + [(None, "c")] * 2 + [(5, "ab"), (5, "d"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, exact.drop_exact(docs).collect()), key=str) == sorted([(1, "a b"), (None, "c"), (5, "d")], key=str)
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = exact.op4_exact_dedup(spark, sf_dir).collect()

@@ -100,6 +100,13 @@ def test_rows(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= {4, 7, 1, None}
 
 
+def test_drop_decides_each_row(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(3, text), (5, text), (5, "q r s t u v"), (3, text), (None, "lonely words of their own"), (None, "lonely words of their own")]
+    left = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(3, text), (5, "q r s t u v"), (None, rows[4][1])], key=str)
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     rows = [(d.doc_id, brute_fingerprint(d.text)) for d in docs]
