@@ -3,7 +3,7 @@
 A worklist holds layers of text. Each layer is scanned, then every encoding seen in it opens further layers:
 URL and Unicode escapes rewrite the whole layer in place (so that a name before "%3D" still meets its value),
 base64 runs open a layer of their own, decompressed first where they hold gzip, zlib or bzip2 data. A layer that was
-seen before is not opened again, so the work ends at a fixpoint. Spans found in a layer are mapped back through
+seen before for the same span of the source is not opened again, so the work ends at a fixpoint. Spans found in a layer are mapped back through
 all layers to the source text: to the rewritten characters, or to the whole encoded run.
 
 Rows: null and empty texts have no spans (counts 0, digest of the empty string). Every row of the input gives
@@ -165,12 +165,16 @@ def blobs(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def layers(text: str) -> Iterator[tuple[str, list]]:
-    """All layers below text, each with the steps that lead from it to the source: a Rewritten, or a fixed span."""
-    seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
+    """All layers below text, each with the steps that lead from it to the source: a Rewritten, or a fixed span.
+
+    A layer is opened once for each span of the source that it stands for, so a repeated run is found at every place.
+    """
+    seen = {(_digest(text), None)}
+    opened: dict[bytes, list[tuple[int, int, str]]] = {}
     work: deque[tuple[str, list]] = deque([(text, [])])
 
-    def fresh(new: str) -> bool:
-        key = hashlib.blake2b(new.encode(errors="surrogatepass"), digest_size=16).digest()
+    def fresh(new: str, way: list) -> bool:
+        key = _digest(new), _fixed(way)
         return not (key in seen or seen.add(key))
 
     while work:
@@ -178,20 +182,42 @@ def layers(text: str) -> Iterator[tuple[str, list]]:
         for mark, edits in (("%", url_edits), ("\\&", unicode_edits)):
             if any(c in now for c in mark):
                 layer = Rewritten(now, edits(now))
-                if layer.changed() and fresh(layer.text):
+                if layer.changed() and fresh(layer.text, way):
                     work.append((layer.text, [layer, *way]))
                     yield work[-1]
-        for start, end, new in blobs(now):
-            if fresh(new):
-                work.append((new, [(start, end), *way]))
+        key = _digest(now)
+        if key not in opened:
+            opened[key] = list(blobs(now))
+        for start, end, new in opened[key]:
+            longer = [(start, end), *way]
+            if fresh(new, longer):
+                work.append((new, longer))
                 yield work[-1]
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+
+
+def _fixed(way: list) -> tuple[int, int] | None:
+    """The span of the source that all of a layer stands for, None where its parts map to places of their own."""
+    at = None
+    for step in way:
+        if isinstance(step, tuple):
+            at = step
+        elif at is not None:
+            at = step.source(*at)
+    return at
+
+
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Secrets that appear only in decoded layers, as spans of the source text."""
     known, found = set(base), set()
+    scans: dict[str, list[Span]] = {}
     for now, way in layers(text):
-        for kind, start, end in base_spans(now):
+        if now not in scans:
+            scans[now] = base_spans(now)
+        for kind, start, end in scans[now]:
             touched = False
             for step in way:
                 if isinstance(step, tuple):

@@ -60,6 +60,17 @@ def test_nested_blobs():
     assert base == [("hex", 4, 4 + len(blob))]
 
 
+def test_repeated_runs_are_all_found():
+    blob = "dG9rZW49YWJjMTIz"
+    text = f"X {blob} Y {blob}"
+    assert secrets.find_secrets(text)[1] == [("assign", 2, 18), ("assign", 21, 37)]
+    twice = base64.b64encode(f"a {blob} b".encode()).decode()
+    text = f"{twice} {blob} {twice} {quote(blob).replace('d', '%64')}"
+    n = len(twice)
+    spans = [(0, n), (n + 1, n + 17), (n + 18, 2 * n + 18), (2 * n + 19, len(text))]
+    assert secrets.find_secrets(text)[1] == [("assign", *s) for s in spans]
+
+
 def test_ends_and_clean_text():
     assert secrets.find_secrets("%2525252525") == ([], [])
     assert secrets.find_secrets("plain words of prose, 100% sure & more \\u12") == ([], [])
