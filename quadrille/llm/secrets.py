@@ -125,27 +125,23 @@ def _inflate(data: bytes) -> bytes:
     return data
 
 
-def _readable(data: bytes) -> str | None:
-    """data as text, if it reads as text."""
+def _as_text(data: bytes) -> str:
+    """Any data as text: bytes that are not UTF-8 stand for the characters of their number, so all ASCII stays."""
     was = None
     while data != was:  # compressed more than once
         was, data = data, _inflate(data)
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    seen = text.replace("\n", "").replace("\t", "").replace("\r", "")
-    return text if seen and seen.isprintable() else None
+        return data.decode("latin-1")
 
 
 def _blob(run: str) -> str | None:
-    if run.isalpha() and (run.islower() or run.istitle()) or run.isdigit():
-        return None  # a plain word or number
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
-        return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
+        return _as_text(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
     except (binascii.Error, ValueError):
         return None
 
@@ -160,8 +156,7 @@ def blobs(text: str) -> Iterator[tuple[int, int, str]]:
             if (new := _blob(m[0].replace("\n", "").replace("\r", ""))) is not None:
                 yield m.start(), m.end(), new
     for m in _HEX_PAIRS.finditer(text):
-        if (new := _readable(bytes.fromhex(m[0]))) is not None:
-            yield m.start(), m.end(), new
+        yield m.start(), m.end(), _as_text(bytes.fromhex(m[0]))
 
 
 def layers(text: str) -> Iterator[tuple[str, list]]:

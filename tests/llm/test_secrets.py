@@ -71,6 +71,13 @@ def test_repeated_runs_are_all_found():
     assert secrets.find_secrets(text)[1] == [("assign", *s) for s in spans]
 
 
+def test_layers_that_do_not_read_as_text():
+    for end in ("\u00a0", "\u202f", "\ufeff", "\u200b", "\f", "\0"):
+        for data in (f"token=abcdef1{end}".encode(), f"token=abcdef1 {end}".encode() + b"\xff\xfe", b"\x80\x81" + f"{end}token=abcdef1".encode()):
+            for run in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode(), data.hex()):
+                assert ("assign", 2, 2 + len(run)) in secrets.find_secrets(f"x {run} y")[1]
+
+
 def test_ends_and_clean_text():
     assert secrets.find_secrets("%2525252525") == ([], [])
     assert secrets.find_secrets("plain words of prose, 100% sure & more \\u12") == ([], [])
