@@ -558,6 +558,15 @@ def enu_matrix(v: View) -> DataFrame:
     return v("instances").filter("alt = 0").select("instance_id", F.round(m[0], 6).alias("ex"), F.round(m[1], 6).alias("ey"), F.round(m[6], 6).alias("ux"), F.round(m[8], 6).alias("uz"))
 
 
+@query("""select instance_id, round(-sin(radians(lon)), 6) as ex, round(cos(radians(lon)), 6) as ey, round(p * cos(radians(lon)) / sqrt(p * p + q * q), 6) as ux, round(q / sqrt(p * p + q * q), 6) as uz from
+    (select instance_id, lon, (n + alt) * cos(radians(lat)) / (6378137e0 * 6378137e0) as p, (n * (1e0 - 6.69437999014e-3) + alt) * sin(radians(lat)) / (6356752.3142e0 * 6356752.3142e0) as q from
+    (select *, 6378137e0 / sqrt(1e0 - 6.69437999014e-3 * sin(radians(lat)) * sin(radians(lat))) as n from instances))""")
+def enu_matrix_any_altitude(v: View) -> DataFrame:
+    """All instances: above the surface the up vector is that of the scaled ellipsoid through the point."""
+    m = geo.enu(*geo.ecef("lon", "lat", "alt"))
+    return v("instances").select("instance_id", F.round(m[0], 6).alias("ex"), F.round(m[1], 6).alias("ey"), F.round(m[6], 6).alias("ux"), F.round(m[8], 6).alias("uz"))
+
+
 @query("select instance_id, round(lon, 9) as lon, round(lat, 9) as lat from instances")
 def web_mercator(v: View) -> DataFrame:
     m = v("instances").select("instance_id", *[c.alias(n) for c, n in zip(geo.degrees_to_mercator("lon", "lat"), "xy", strict=True)])
