@@ -26,7 +26,7 @@ _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; hold Arrow batches to BATCH_ROWS unless the session sets its own."""
-    if spark.conf.get(_ROWS_KEY, "10000") == "10000":
+    if spark.conf.get(_ROWS_KEY, "1") != spark.conf.get(_ROWS_KEY, "2"):  # not set: each default comes back
         spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
@@ -44,34 +44,47 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset."""
-    app = spark.sparkContext.applicationId
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"{tempfile.gettempdir()}/checkpoints/{app}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; `clear_scratch` removes all that were given out."""
+    """A fresh folder in the shared one. It goes with `clear_scratch`, at the latest when the driver's JVM ends in good order."""
     path = f"{shared_dir(spark)}/quadrille-{uuid.uuid4().hex[:12]}-{label}"
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(p)
+    store.deleteOnExit(p)
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the written tables of earlier operator calls. Call it only when their results are no longer read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders were given out: where `clear_scratch` may begin."""
+    return len(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the written tables of operator calls since a mark, or all but the last. Call it only when their results are no longer read."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths = _scratch.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - but_last]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+    paths[since:] = paths[since + len(gone) :]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
