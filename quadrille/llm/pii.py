@@ -3,7 +3,9 @@
 A chain of transducers rewrites the text: look-alike characters (full-width forms, Cyrillic and Greek letters,
 other digits, invisible characters), spelled digits, and the disguises of "@" and ".". Each rewrite records
 where it came from, so identifiers found in the rewritten text are mapped back to the source characters.
-Spans that hold nothing rewritten are left to the detectors of the plain text.
+Spans that hold nothing rewritten are left to the detectors of the plain text. Runs of spelled digits are rewritten where the
+detectors could take the result (four parts, a plus, or thirteen digits), however few of the digits are spelled; the text is read
+with and without this step.
 
 Rows: null and empty texts have no spans (counts 0, digest of the empty string). Every row of the input gives
 one row, repeated ones too. Offsets count code points, ends are exclusive; spans are ordered by kind
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -136,19 +139,29 @@ _DIGITS = {
 }
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _DOT_WORD = r"dot|point|punkt|punto"
-_DIGIT_ONCE = re.compile(rf"(?i)(?<!\w)(?:{_WORD})[\s,-]{{1,3}}(?:{_WORD}|[0-9]|{_DOT_WORD})(?!\w)")
+_GAP = r"[\s,.()-]{1,4}"
+_DIGIT_ONCE = re.compile(rf"(?i)(?<!\w)(?:{_WORD}){_GAP}(?:{_WORD}|[0-9]|{_DOT_WORD}|\+)(?!\w)|(?:[0-9]|(?<!\w)(?:{_DOT_WORD}|plus)){_GAP}(?:{_WORD})(?!\w)|\+\s?(?:{_WORD})(?!\w)")
 _ITEM = rf"(?:(?:{_WORD}|{_DOT_WORD}|plus)(?!\w)|[0-9]+|[+.()])"
-_RUN = re.compile(rf"(?i)(?<!\w){_ITEM}(?:[ \t,-]{{0,2}}{_ITEM})+")
-_RUN_PART = re.compile(rf"(?i)({_WORD})(?!\w)|({_DOT_WORD})(?!\w)|(plus)(?!\w)|[0-9]+|[ \t,]+|.", re.DOTALL)
+_RUN = re.compile(rf"(?i)(?<!\w){_ITEM}(?:[ \t]{{0,2}}[,-]?(?:\r?\n)?[ \t]{{0,2}}{_ITEM})+")
+_RUN_PART = re.compile(rf"(?i)({_WORD})(?!\w)|({_DOT_WORD})(?!\w)|(plus)(?!\w)|[0-9]+|[\s,]+|.", re.DOTALL)
+
+
+def _may_identify(parts: list[re.Match]) -> bool:
+    """Whether a run with a spelled digit has what a card, an address or a phone number needs."""
+    if not any(p[1] for p in parts):
+        return False
+    digits = sum(1 if p[1] else len(p[0]) * p[0].isdigit() for p in parts)
+    dots = sum(bool(p[2]) or p[0] == "." for p in parts)
+    return digits >= 13 or digits >= 4 and dots >= 3 or digits >= 9 and any(p[3] or p[0] == "+" for p in parts)
 
 
 def digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
-    """Within runs of three and more spelled digits: words become digits, the space between them goes."""
+    """Within runs that may hold an identifier: spelled digits become digits, the space between items goes."""
     if not _DIGIT_ONCE.search(text):
         return
     for run in _RUN.finditer(text):
         parts = list(_RUN_PART.finditer(text, run.start(), run.end()))
-        if sum(bool(p[1]) for p in parts) < 3:
+        if not _may_identify(parts):
             continue
         for k, p in enumerate(parts):
             if p[1]:
@@ -157,55 +170,76 @@ def digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
                 yield p.start(), p.end(), "."
             elif p[3]:
                 yield p.start(), p.end(), "+"
-            elif p[0][0] in " \t," and 0 < k < len(parts) - 1:
+            elif (p[0][0] == "," or p[0].isspace() or p[0][0].isspace()) and 0 < k < len(parts) - 1:
                 yield p.start(), p.end(), ""
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"\s*(?:{_OPEN}\s*(?:at|@|arroba)\s*{_CLOSE}|&#0*64;|&#x0*40;|&commat;|%40)\s*"
 _DOT = rf"\s*(?:{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}|&#0*46;|&#x0*2e;|&period;|%2e)\s*"
-_BARE_DOT = r"(?<=[A-Za-z0-9])[ \t_]+dot[ \t_]+(?=[A-Za-z0-9])"
 # Top-level names that make a bare "at ... dot ..." an address; those that are common words are left out.
 _TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|tv|example|test|invalid|local|de|fr|es|uk|us|eu|ch|nl|pt|pl|ru|cn|jp|br|mx|ca|au|se|dk|fi|cz|ie|nz|kr"
 _PART = "[A-Za-z0-9-]{1,63}"
-_BARE_AT = rf"(?<=[A-Za-z0-9])[ \t_]+at[ \t_]+(?={_PART}(?:(?:{_BARE_DOT}|{_DOT}|\.){_PART}){{0,4}}(?:{_BARE_DOT}|{_DOT})(?:{_TOP})(?!\w))"
+_BETWEEN = r"[ \t_]+"
+#: A bare "dot" stands anywhere, its other words only before what ends in a top-level name.
+_BARE_DOT = rf"(?<=[A-Za-z0-9]){_BETWEEN}(?:dot{_BETWEEN}(?=[A-Za-z0-9])|(?:point|punkt|punto){_BETWEEN}(?=(?:{_PART}{_BETWEEN}(?:{_DOT_WORD}){_BETWEEN}){{0,4}}(?:{_TOP})(?!\w)))"
+# Words before "at" that speak of a place on the web rather than of a mailbox.
+_PLACE = "us|me|him|her|them|it|is|are|was|were|be|here|there|look|looking|visit|found|find|available|online|site|website|page|read|see|more|info|hosted|live|out|up|and|or|only|shop|order|join|code|blog"
+#: A bare "at" before a name with a disguised last dot, or, unless after such a word, with plain dots.
+_BARE_AT = rf"(?<=[A-Za-z0-9]){_BETWEEN}(?:at|arroba){_BETWEEN}(?={_PART}(?:(?:{_BARE_DOT}|{_DOT}|\.){_PART}){{0,4}}(?:{_BARE_DOT}|{_DOT})(?:{_TOP})(?!\w))"
+_PLAIN_AT = rf"(?<=[A-Za-z0-9]){_BETWEEN}(?:at|arroba){_BETWEEN}(?={_PART}(?:\.{_PART}){{0,4}}\.(?:{_TOP})(?![\w-]|\.\w|/))"
+_AFTER_PLACE = re.compile(rf"(?i)(?<![\w.%+-])(?:{_PLACE})\Z")
 #: Spaces left round a true "@" or before a top-level part.
 _WIDE_AT = r"(?<=[A-Za-z0-9])[ \t]+@[ \t]+(?=[A-Za-z0-9])"
-_MARKS = re.compile(rf"(?i)(?P<at>{_AT}|{_BARE_AT}|{_WIDE_AT})|(?P<dot>{_DOT}|{_BARE_DOT})")
-_MARK_ONCE = re.compile(rf"(?i)(?:{_OPEN}\s*(?:at|@|arroba|{_DOT_WORD}|\.)\s*{_CLOSE})|&#|&commat|&period|%40|%2e|[ \t_]dot[ \t_]|[ \t]@[ \t]")
+_MARKS = re.compile(rf"(?i)(?P<at>{_AT}|{_BARE_AT}|{_WIDE_AT})|(?P<maybe>{_PLAIN_AT})|(?P<dot>{_DOT}|{_BARE_DOT})")
+_MARK_ONCE = re.compile(rf"(?i)(?:{_OPEN}\s*(?:at|@|arroba|{_DOT_WORD}|\.)\s*{_CLOSE})|&#|&commat|&period|%40|%2e|[ \t_]dot[ \t_]|[ \t]@[ \t]|[ \t_](?:at|arroba)[ \t_]+{_PART}(?:\.|[ \t_]+(?:{_DOT_WORD})[ \t_])")
 
 
 def mark_edits(text: str) -> Iterator[tuple[int, int, str]]:
     if not _MARK_ONCE.search(text):
         return
     for m in _MARKS.finditer(text):
-        yield m.start(), m.end(), "@" if m.lastgroup == "at" else "."
+        if m.lastgroup != "maybe":
+            yield m.start(), m.end(), "@" if m.lastgroup == "at" else "."
+        elif not _AFTER_PLACE.search(text, max(0, m.start() - 12), m.start()):
+            yield m.start(), m.end(), "@"
 
 
 TRANSDUCERS = (homoglyph_edits, digit_edits, mark_edits)
 
 
-def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that appear only after rewriting, as spans of the source text."""
+def _chain(text: str, transducers: tuple) -> list[Rewritten]:
     layers: list[Rewritten] = []
-    now = text
-    for k, edits in enumerate(TRANSDUCERS):
-        if k == 0 and now.isascii():
+    for edits in transducers:
+        if edits is homoglyph_edits and text.isascii():
             continue
-        layer = Rewritten(now, edits(now))
+        layer = Rewritten(text, edits(text))
         if layer.changed():
             layers.append(layer)
-            now = layer.text
-    if not layers:
-        return []
+            text = layer.text
+    return layers
+
+
+def hidden_spans(text: str, base: list[Span]) -> list[Span]:
+    """Identifiers that appear only after rewriting, as spans of the source text: those inside a base span of their kind are left out."""
+    chains = [_chain(text, TRANSDUCERS)]
+    if _DIGIT_ONCE.search(text):
+        without = _chain(text, (homoglyph_edits, mark_edits))
+        if [x.text for x in without] != [x.text for x in chains[0]]:
+            chains.append(without)
+    known = {kind: ([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS}
     found: set[Span] = set()
-    for kind, start, end in base_spans(now):
-        touched = False
-        for layer in reversed(layers):
-            touched = touched or layer.touches(start, end)
-            start, end = layer.source(start, end)
-        if touched and not any(k == kind and s <= start and end <= e for k, s, e in base):
-            found.add((kind, start, end))
+    for layers in chains:
+        for kind, start, end in base_spans(layers[-1].text) if layers else ():
+            touched = False
+            for layer in reversed(layers):
+                touched = touched or layer.touches(start, end)
+                start, end = layer.source(start, end)
+            if touched:
+                starts, ends = known[kind]
+                at = bisect_right(starts, start) - 1  # base spans of a kind do not overlap
+                if at < 0 or ends[at] < end:
+                    found.add((kind, start, end))
     return list(found)
 
 

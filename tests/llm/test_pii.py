@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -52,6 +53,16 @@ def test_base_edges():
         ("call plus one five five five zero one two three four five six now", "phone", "plus one five five five zero one two three four five six"),
         ("call +１ ２３４ ５６７ ８９０１ now", "phone", "+１ ２３４ ５６７ ８９０１"),
         ("pay four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
+        ("host 192 dot 168 dot one dot one up", "ip", "192 dot 168 dot one dot one"),
+        ("host 192.168.zero.one up", "ip", "192.168.zero.one"),
+        ("host 192.168.one.one up", "ip", "192.168.one.one"),
+        ("call +49 30 1234 five six now", "phone", "+49 30 1234 five six"),
+        ("pay 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+        ("pay four one one one - one one one one - one one one one -\none one one one ok", "card", "four one one one - one one one one - one one one one -\none one one one"),
+        ("write to jane at example.com now", "email", "jane at example.com"),
+        ("write to jane arroba example punto com now", "email", "jane arroba example punto com"),
+        ("write to jane at example punkt de now", "email", "jane at example punkt de"),
+        ("write to jane at five dot com now", "email", "jane at five dot com"),
         ("pay 4111​1111​1111​1111 ok", "card", "4111​1111​1111​1111"),
     ],
 )
@@ -63,10 +74,17 @@ def test_disguises_map_back(text, kind, hidden):
 
 
 def test_clean_prose_has_no_spans():
-    for text in ["Meet me at the dot on the map at noon.", "One two three, go.", "le point est un deux", "été à la dot com boom", "· bullet – dash"]:
+    for text in ["Meet me at the dot on the map at noon.", "One two three, go.", "le point est un deux", "été à la dot com boom", "· bullet – dash", "Visit us at example.com.", "Un, deux, trois et quatre.", "From one point to the next point de vue", "It was hosted at example.org/x or one.two"]:
         assert pii.find_pii(text) == ([], [])
 
 
+def test_many_addresses_take_linear_time():
+    text = " ".join(f"u{i}@ex.com j{i} [at] ex [dot] com" for i in range(20_000))
+    start = time.monotonic()
+    base, extra = pii.find_pii(text)
+    assert len(base) == len(extra) == 20_000 and time.monotonic() - start < 20
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.com", "x"), (3, "a@b.com", "x"), (None, "9.9.9.9", None), (5, "z" * 100_000 + " a@b.com", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")

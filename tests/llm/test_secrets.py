@@ -1,7 +1,10 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -85,6 +88,53 @@ def test_ends_and_clean_text():
     assert secrets.find_secrets(bomb)[1] == []
 
 
+def encoded(data):
+    return base64.b64encode(data).decode()
+
+
+def test_all_of_a_layer_is_scanned(monkeypatch):
+    filler = "é and so on. " * 3000
+    for block in (1 << 10, 1 << 20):
+        monkeypatch.setattr(secrets, "BLOCK", block)
+        monkeypatch.setattr(secrets, "OVERLAP", 64)
+        for text in (f"{filler}{KEY}", f"{KEY} {filler}", f"{filler}{KEY} {filler}", filler + base64.b64encode(f"{filler} {KEY}".encode()).decode()):
+            for data in (gzip.compress(text.encode()), bz2.compress(text.encode()), lzma.compress(text.encode()), zlib.compress(gzip.compress(text.encode()))):
+                run = encoded(data)
+                assert ("access", 2, 2 + len(run)) in secrets.find_secrets(f"x {run} y")[1]
+
+
+def test_members_ends_and_other_widths():
+    key = KEY.encode()
+    for data in (
+        gzip.compress(b"abc") + gzip.compress(key),
+        gzip.compress(b"") + gzip.compress(key) + gzip.compress(b"z"),
+        gzip.compress(b"abc") + b" " + key,
+        bz2.compress(b"x") + bz2.compress(gzip.compress(key)),
+        gzip.compress(key + bytes(range(256)) * 400)[:-20],
+        KEY.encode("utf-16-le"),
+        KEY.encode("utf-16"),
+        b"key\0" + key,
+        "é".encode("latin-1") + key,
+    ):
+        run = encoded(data)
+        assert ("access", 2, 2 + len(run)) in secrets.find_secrets(f"x {run} y")[1]
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 300_000
+    for text, kind in (("%" + "25" * n + "41" + KEY[1:], "access"), ("token&" + "amp;" * n + "equals;abcdefgh", "assign"), ("token\\u005c" + "u005c" * n + "u003dabcdefgh", "assign")):
+        start = time.monotonic()
+        assert (kind, 0, len(text)) in secrets.find_secrets(text)[1]
+        assert time.monotonic() - start < 10
+
+
+def test_data_that_holds_itself_ends():
+    seen = list(secrets.texts_in(gzip.compress(gzip.compress(gzip.compress(b"token=abcdef1")))))
+    assert seen == ["token=abcdef1"]
+    head = gzip.compress(b"x" * 100)
+    assert b"".join(secrets._plain_chunks(iter([head]), frozenset({head[:64]}))) == head
+
+
 def test_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "token: abcdef1", 0), (3, "token: abcdef1", 0), (None, KEY, 0), (5, "z" * 100_000 + " " + KEY, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
