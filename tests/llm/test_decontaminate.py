@@ -48,6 +48,21 @@ def test_rows(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {r[0] for r in got}
 
 
+def test_short_items_and_stock_phrases(spark):
+    stock = "which of the following statements is the right one here"
+    items = [(n, f"{stock} a{n} b{n} c{n} d{n} e{n} f{n}") for n in range(30)] + [(100, "Zebra"), (101, "blue zebra, twice"), (102, " . "), (103, "two words")]
+    rows = [(n, f"{stock} and other things {n}") for n in range(200)]
+    rows += [(300, items[3][1]), (301, "a blue Zebra twice over"), (302, "zebras two"), (303, "two. words"), (None, "zebra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:4] for r in decontaminate.contaminated(docs, bench).collect()}
+    want = brute(rows, items) | {(301, 100, 1, 1), (301, 101, 1, 1), (303, 103, 1, 1), (None, 100, 1, 1)}
+    assert got == want and (300, 3, 12, 12) in got
+    worded = bench.select("item_id", decontaminate.words(bench["text"]).alias("w"))
+    held = decontaminate.sketches(worded).groupBy("hash").count().filter("count > 1").count()
+    assert held == 0  # the phrase that all items share stands in no sketch
+
+
 def test_sketches_reach_every_match(spark):
     items = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n + 4))) for n in range(1, 70)], "item_id long, text string")
     rows = decontaminate.sketches(items.select("item_id", decontaminate.words(items["text"]).alias("w"))).groupBy("item_id").count().collect()
