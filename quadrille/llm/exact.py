@@ -6,7 +6,8 @@ by key range to owner tasks. An owner inserts them into an extendible-hash index
 shared folder: a bucket that outgrows its capacity is split by one more bit of the key, and the directory
 doubles when that bit is new to it. Then the owner reads bucket by bucket, chains the entries of one key, and
 compares their bytes, so that colliding keys stay apart. Entries hold the number of rows, the best row and
-no member lists: a group of any size is a few entries, and rows find their group by the entry's id.
+no member lists, and rows find their group by the entry's id. Keys that hold more than a thousandth of all entries (so at most
+a thousand of them) are dealt to SALTS tasks first, which merge the equal texts among theirs: an owner gets at most SALTS entries of such a text.
 
 Rows: null text counts as empty, and empty texts form a group like any other. Of equal texts the row with the
 most code points, then the smallest doc_id (null last) stays; of rows that repeat this too, one. One row comes
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import common, files
+from quadrille.llm.graph import HOT, SALTS, join_on_hot
 
 #: Bytes of entries above which a bucket is split, and bytes that an owner holds back before it writes a page.
 BUCKET = 32 << 20
@@ -117,8 +119,8 @@ def best(entry: tuple) -> tuple:
     return -entry[3], entry[4] is None, entry[4] or 0, entry[1]
 
 
-def chained(entries: Iterator[tuple], plain: Callable[[bytes], bytes]) -> Iterator[tuple[int, int, int | None, int]]:
-    """entry, keeping entry, keeping doc_id and rows of the group for each entry; one text is held for each group."""
+def linked(entries: Iterator[tuple], plain: Callable[[bytes], bytes]) -> Iterator[tuple[bytes, tuple, int, list[int]]]:
+    """Body, best entry, rows and entry ids of each group of equal texts; one text is held for each group."""
     chains: dict[int, list[list]] = {}
     for e in entries:
         chain = chains.setdefault(e[0], [])
@@ -132,9 +134,14 @@ def chained(entries: Iterator[tuple], plain: Callable[[bytes], bytes]) -> Iterat
         group[2] += e[2]
         group[3].append(e[1])
     for chain in chains.values():
-        for _, top, rows, members in chain:
-            for entry in members:
-                yield entry, top[1], top[4], rows
+        yield from map(tuple, chain)
+
+
+def chained(entries: Iterator[tuple], plain: Callable[[bytes], bytes]) -> Iterator[tuple[int, int, int | None, int]]:
+    """entry, keeping entry, keeping doc_id and rows of the group for each entry."""
+    for _, top, rows, members in linked(entries, plain):
+        for entry in members:
+            yield entry, top[1], top[4], rows
 
 
 def _hash(data: bytes) -> int:
@@ -186,9 +193,39 @@ def entries_of(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return common.map_rows(common.texts_of(docs, keys), ["doc_id", "text", *keys], schema, run)
 
 
+def merged(heads: DataFrame) -> DataFrame:
+    """entry, into, and on the row where both are equal the merged entry: equal texts among those that a key and salt bring to a task."""
+    names = ["into", *_ENTRY.names]
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        entries = (e for b in batches for e in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for body, top, rows, members in linked(entries, unpack):
+            whole = [(top[1], top[0], top[1], rows, top[3], top[4], body)]
+            whole += [(top[1], top[0], entry, 0, 0, None, None) for entry in members if entry != top[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "body" else pa.int64()) for n, c in zip(names, zip(*whole, strict=True), strict=True)], names=names)
+
+    salted = heads.withColumn("salt", F.pmod(F.xxhash64("entry"), F.lit(SALTS)))
+    spread = salted.repartition(common.shuffle_parts(heads.sparkSession), "key", "salt").select(*_ENTRY.names)
+    return spread.mapInArrow(run, "into long, key long, entry long, rows long, best_len long, best_id long, body binary")
+
+
 def groups_of(entries: DataFrame, bucket: int = BUCKET, page: int = PAGE) -> DataFrame:
-    """entry, keep_entry, keep_id, group_size: owner tasks index their key ranges."""
-    spark = entries.sparkSession
+    """entry, keep_entry, keep_id, group_size: owner tasks index their key ranges. entries: a written table."""
+    heads = entries.filter(F.col("key").isNotNull()).select(*_ENTRY.names)
+    n = heads.count()
+    hot = [r["key"] for r in heads.groupBy("key").count().filter((F.col("count") * HOT > n) & (F.col("count") > SALTS)).select("key").collect()]
+    if not hot:
+        return indexed(heads, bucket, page)
+    is_hot = F.col("key").isin(hot)
+    fewer = common.materialise(merged(heads.filter(is_hot)), "merged")
+    groups = common.materialise(indexed(heads.filter(~is_hot).union(fewer.filter("entry = into").select(*_ENTRY.names)), bucket, page), "found")
+    others = join_on_hot(fewer.filter("entry <> into").select("into", F.col("entry").alias("member")), groups.withColumnRenamed("entry", "into"), "into", "member")
+    return groups.union(others.select(F.col("member").alias("entry"), "keep_entry", "keep_id", "group_size"))
+
+
+def indexed(heads: DataFrame, bucket: int, page: int) -> DataFrame:
+    spark = heads.sparkSession
     folder = common.scratch_path(spark, "index")
     parts = common.shuffle_parts(spark)
 
@@ -203,8 +240,7 @@ def groups_of(entries: DataFrame, bucket: int = BUCKET, page: int = PAGE) -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entry", "keep_entry", "keep_id", "group_size"])
 
-    heads = entries.filter(F.col("key").isNotNull()).select(*_ENTRY.names)
-    # one range of the top bits of the key for each owner; hashes fill them evenly, and a group is a few entries
+    # one range of the top bits of the key for each owner; hashes fill them evenly
     ranged = heads.withColumn("owner", F.expr(f"cast(floor((shiftright(key, 32) + 2147483648D) / 4294967296D * {parts}) as int)"))
     return common.by_id(ranged, parts, "owner").select(*_ENTRY.names).mapInArrow(own, "entry long, keep_entry long, keep_id long, group_size long")
 

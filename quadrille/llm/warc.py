@@ -5,9 +5,10 @@ one archive per task into the shared folder. Each attempt of a task writes a fil
 lists only those of the attempts that counted, so lost executors leave nothing double.
 
 The reader needs no index. Tasks get byte ranges; each scans its range for the gzip magic and takes a candidate for a
-member only if its first bytes inflate to a WARC header and the whole member is followed by the end of the file or by
-another such member. From there it walks member by member. A task owns the records that start inside its range and reads
-past its end to finish the last one.
+member only if its first bytes inflate to a WARC header, the whole member decodes, and it is followed by the end of the file or by
+another such member; where it is not (the next one is damaged, or the candidate stands inside a stored record), the
+nearest member before it must end at or before it. From there it walks member by member. A task owns the records that start inside its range and reads
+past its end to finish the last one. Damaged members are left out, whatever the ranges.
 
 Rows: null html counts as empty. Payloads below 1000 bytes are never revisits. Of equal payloads (SHA-256 of the
 bytes) the largest page_id is the response; rows that repeat that id are responses too. Rows with a null page_id
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import common, files
+from quadrille.llm.graph import join_on_hot
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payload bytes from which equal payloads are stored once.
@@ -108,6 +110,23 @@ def member(w: Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(parts), pos
 
 
+def stands_alone(f, size: int, at: int) -> bool:
+    """Whether the nearest member that starts before this place does not reach beyond it."""
+    end = at
+    while end > 0:
+        start = max(0, end - READ)
+        f.seek(start)
+        piece = f.read(min(end + 2, at + 2) - start)
+        k = piece.rfind(MAGIC, 0, end - start + 2)
+        while k >= 0:
+            w = Window(f, size, start + k)
+            if start + k < at and header_at(w, start + k) and (found := member(w, start + k)):
+                return found[1] <= at
+            k = piece.rfind(MAGIC, 0, k + 2)
+        end = start
+    return True
+
+
 def members(f, size: int, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """Offset and content of the WARC members that start in [start, stop)."""
     w, at, sure = Window(f, size, start), start, False
@@ -126,7 +145,7 @@ def members(f, size: int, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
             if at >= stop:
                 return
         found = member(w, at) if header_at(w, at) else None
-        if found is None or not sure and found[1] < size and not header_at(w, found[1]):
+        if found is None or not sure and at and found[1] < size and not header_at(w, found[1]) and not stands_alone(f, size, at):
             at, sure = at + 1, False
             continue
         yield at, found[0]
@@ -144,24 +163,38 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("content-length", len(rest)))]
 
 
-def described(content: bytes) -> tuple[int | None, int, str, str, int | None, str | None, bytes | None]:
-    """page_id, payload bytes, digest, type, refers_to, url and (responses) payload of a record."""
+def _whole(text: str | bytes | None) -> int | None:
+    try:
+        return int(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+def described(content: bytes) -> tuple[int | None, int | None, str | None, str, int | None, str | None, bytes | None]:
+    """page_id, payload bytes, digest, type, refers_to, url and (responses) payload of a record; null where a foreign record says nothing."""
     fields, block = parse(content)
-    page = int(fields["x-page-id"]) if "x-page-id" in fields else None
+    page = _whole(fields.get("x-page-id"))
+    kind, url = fields.get("warc-type", "unknown"), fields.get("warc-target-uri")
     http, _, payload = block.partition(b"\r\n\r\n")
-    if fields["warc-type"] == "revisit":
-        length = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-        return page, length, digest, "revisit", int(fields["x-refers-to-page-id"]), fields.get("warc-target-uri"), None
-    return page, len(payload), hashlib.sha1(payload).hexdigest(), fields["warc-type"], None, fields.get("warc-target-uri"), payload
+    if kind == "revisit":
+        length = next((_whole(line.split(b":")[1].strip()) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")), None)
+        name, _, said = fields.get("warc-payload-digest", "").partition(":")
+        try:
+            digest = base64.b32decode(said).hex() if name.lower() == "sha1" else None
+        except ValueError:
+            digest = None
+        return page, length, digest, kind, _whole(fields.get("x-refers-to-page-id")), url, None
+    return page, len(payload), hashlib.sha1(payload).hexdigest(), kind, None, url, payload
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = rows.withColumn("k", F.when(F.octet_length("payload") >= LEAST, F.sha2("payload", 256)))
-    shared = common.materialise(keyed.filter("k is not null").groupBy("k").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").select("k", "top"), "shared")
-    return keyed.join(shared, "k", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    # pages that are too short to be shared get a key that no other page has
+    keyed = rows.withColumn("k", F.when(F.octet_length("payload") >= LEAST, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url", "payload")))))
+    shared = common.materialise(keyed.filter("k not like '-%'").groupBy("k").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null"), "shared")
+    joined = join_on_hot(keyed, shared, "k", "page_id", "left", rows="n")
+    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame) -> DataFrame:

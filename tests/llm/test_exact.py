@@ -49,6 +49,22 @@ def test_repeated_rows_keep_one(spark):
     assert sum(r.kept for r in got) == 1 and {(r.keep_id, r.group_size) for r in got} == {(1, 6)}
 
 
+def test_hot_keys_are_merged_first(spark, monkeypatch):
+    """A batch for each row, so that a group has an entry for each of its rows; every hash collides with another text's."""
+    monkeypatch.setattr(exact, "SALTS", 3)
+    monkeypatch.setattr(exact, "_hash", lambda data: len(data))
+    monkeypatch.setattr(exact, "HOT", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = [(i, "hot text" + " " * (i % 5)) for i in range(40)] + [(100 + i, "xotytext") for i in range(30)] + [(200 + i, f"n {i}") for i in range(9)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = exact.exact_groups(docs).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(rows)
+        assert sum(r.kept for r in got) == 11
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_drop_decides_each_row(spark):
     rows = [(1, "a b")] * 3 + [(None, "c")] * 2 + [(5, "ab"), (5, "d"), (None, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -41,6 +41,24 @@ def test_magic_inside_records_is_not_a_record():
             assert offset in (0, len(outer))
 
 
+def test_damage_costs_the_same_records_for_all_ranges(monkeypatch):
+    monkeypatch.setattr(warc, "READ", 256)
+    for hurt, at in ((3, 0.5), (3, 0.0), (0, 0.2), (5, 0.9), (4, 0.01)):
+        parts, data = archive(6)
+        starts = [sum(map(len, parts[:k])) for k in range(6)]
+        spot = starts[hurt] + int(len(parts[hurt]) * at)
+        broken = data[:spot] + bytes(x ^ 0x5A for x in data[spot : spot + 9]) + data[spot + 9 :]
+        for step in (41, 60, 300, 309, 10**7):
+            got = [o for a in range(0, len(broken), step) for o, _ in warc.members(io.BytesIO(broken), len(broken), a, min(len(broken), a + step))]
+            assert got == [x for k, x in enumerate(starts) if k != hurt]
+
+
+def test_foreign_records():
+    for head in ("WARC-Type: revisit", "WARC-Type: revisit\r\nWARC-Payload-Digest: md5:zz\r\nX-Page-Id: q", "WARC-Type: warcinfo", "X: y", "WARC-Type: revisit\r\nWARC-Payload-Digest: sha1:1"):
+        found = warc.described(f"WARC/1.0\r\n{head}\r\nContent-Length: 4\r\n\r\nabcd".encode())
+        assert found[0] is None and found[4] is None and len(found) == 7
+
+
 MAGIC_TAIL = b"\x1f\x8b\x08"
 
 
