@@ -21,6 +21,7 @@ from itertools import chain, islice
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -49,6 +50,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def sent(docs: DataFrame, path: str) -> Broadcast:
+    """The vocabulary file (a megabyte), read on the driver and sent to the executors."""
+    common.ship(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(_file(path))
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -78,10 +90,11 @@ class Codec:
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> "Codec":
+    def load(cls, path: str, pattern: str, data: bytes | None = None) -> "Codec":
+        """The codec of a vocabulary file, made once in a process; data: the file's bytes, where the path may lead nowhere."""
         if (path, pattern) not in _codecs:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            lines = (data or _file(path)).splitlines()
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
             _codecs[path, pattern] = cls(ranks, pattern)
             gc.freeze()  # the tables live as long as the worker
         return _codecs[path, pattern]
@@ -171,12 +184,12 @@ class Codec:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with an array of token ids added; `ids` names the new column and replaces one of that name."""
-    common.ship(docs.sparkSession)
+    file = sent(docs, path)
     keep = [c for c in docs.columns if c.lower() != ids.lower()]
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
-        codec = Codec.load(path, pattern)
+        codec = Codec.load(path, pattern, file.value)
         for b in batches:
             found = [codec.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
@@ -186,12 +199,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """docs with the text decoded from an array of token ids added (bytes that are not UTF-8 become U+FFFD)."""
-    common.ship(docs.sparkSession)
+    file = sent(docs, path)
     keep = [c for c in docs.columns if c.lower() != text.lower()]
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(text, "string")
 
     def run(batches):
-        codec = Codec.load(path, pattern)
+        codec = Codec.load(path, pattern, file.value)
         for b in batches:
             found = [codec.decode(x or []).decode(errors="replace") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, text])
@@ -200,13 +213,15 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of docs but text, n_tokens, token_ids, and whether the ids decode to the bytes of the text."""
-    common.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "round_trip")]
+    """The columns of docs but text, n_tokens, token_ids, and round_trip: whether the ids decode to the bytes of the text.
+
+    Columns of docs with one of these names, in any case, give way to the new ones."""
+    file = sent(docs, path)
+    keep = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "token_ids", "round_trip")]
     schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean")
 
     def run(batches):
-        codec = Codec.load(path, pattern)
+        codec = Codec.load(path, pattern, file.value)
         for b in batches:
             size, parts = 0, []
             for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
@@ -224,9 +239,10 @@ def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of docs."""
+    file = sent(docs, path)
 
     def run(batches):
-        codec = Codec.load(path, pattern)
+        codec = Codec.load(path, pattern, file.value)
         for b in batches:
             rows = [codec.digest(t) for t in b.column(1).to_pylist()]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())

@@ -6,7 +6,7 @@ weighted by the bytes they hold, are averaged. Every byte of a text lies in one
 For speed a filter is applied as table look-ups over pairs of classes, which gives the same sums.
 
 Training takes at most SAMPLE documents with a lang (those of the smallest hash of doc_id), only those whose crc32(doc_id as
-text) mod 4 is not 2, and WINDOWS windows of each. It runs once on the driver. lang, source and doc_id are no inputs
+text) mod 4 is not 2, and WINDOWS windows of each; of those that repeat a doc_id and lang, the text of the smallest hash. It runs once on the driver. lang, source and doc_id are no inputs
 of a prediction.
 
 Rows: null texts and texts without a letter give `und` with score 0; so does every text where no row has a lang. Each
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on windows of the bounded sample of documents with a lang outside the held-out quarter."""
     known = docs.filter("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("text"))
     # ids first, texts then: only the sample's texts are sorted or sent
-    ids = known.filter(~held_out(F.col("_id"))).select("_id", "_lang").orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample).select("_id").distinct()
+    ids = known.filter(~held_out(F.col("_id"))).select("_id", "_lang").orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample).distinct()
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
                     found.append(codes[w].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keep_id, pa.int64()), pa.array(keep_lang, pa.string()), pa.array(found, pa.binary())], names=["_id", "_lang", "codes"])
 
-    rows = known.join(F.broadcast(ids), "_id").select("_id", "_lang", "text").mapInArrow(run, "_id long, _lang string, codes binary").toArrow().to_pylist()
+    own = known.join(F.broadcast(ids), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = own.select("_id", "_lang", "text").mapInArrow(run, "_id long, _lang string, codes binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["_id"], r["_lang"], r["codes"]))
     net = Network(sorted({r["_lang"] for r in rows}))
     if rows:

@@ -5,7 +5,8 @@ softmax turn the mean into the probability of label 1. Because mean and output a
 into one logit per bucket after training, and scoring a whole text is a sum of table look-ups over its bytes.
 
 Training uses at most SAMPLE labelled rows (those of the smallest hash of doc_id), whole texts, only rows whose
-crc32(doc_id as text) mod 4 is not 2. It runs once on the driver over their n-gram counts; executors do the counting.
+crc32(doc_id as text) mod 4 is not 2, and of them as many, in that order, as come to GRAMS counts. It runs once on the driver over their
+n-gram counts; executors do the counting. Of documents that repeat a doc_id the text of the smallest hash is taken.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Rows: null and empty texts score by the bias alone. Labels without doc_id or quality are left out; documents labelled
@@ -26,6 +27,8 @@ from quadrille.llm import common, ngrams
 
 #: Labelled rows that are fitted, and hash bits of the buckets of each kind of n-gram.
 SAMPLE, BITS = 4000, 16
+#: n-gram counts that are fitted, which bounds what the driver holds (eight bytes each).
+GRAMS = 24_000_000
 #: Size of the vectors, passes over the sample, first step of the descent.
 DIM, EPOCHS, RATE = 12, 12, 2.0
 CHARS = (3, 4)
@@ -123,7 +126,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             lists = [pa.array([x.astype(t) for x in column], pa.list_(pa.from_numpy_dtype(t))) for column, t in zip(zip(*found, strict=True) if found else ((), ()), (np.int32, np.float32), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, b.column(2)], names=["_id", "ids", "weights", "_y"])
 
-    rows = texts.join(F.broadcast(marked), "_id").select("_id", "text", "_y").mapInArrow(run, "_id long, ids array<int>, weights array<float>, _y int").toArrow().combine_chunks()
+    ids = marked.select("_id").distinct()
+    own = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    held = common.materialise(own.join(F.broadcast(marked), "_id").select("_id", "text", "_y").mapInArrow(run, "_id long, ids array<int>, weights array<float>, _y int"), "counts")
+    sizes = held.select("_id", F.size("ids").cast("long").alias("n")).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
+    total, taken = 0, set()
+    for r in sizes:
+        if (total := total + r["n"]) > GRAMS and taken:
+            break
+        taken.add(r["_id"])
+    if not taken:
+        return train([])
+    rows = held.filter(F.col("_id").isin(list(taken))).limit(sample).toArrow().combine_chunks()
     ids, weights = (rows.column(c).combine_chunks() for c in ("ids", "weights"))
     ends = ids.offsets.to_numpy()
     ids, weights = ids.values.to_numpy(), weights.values.to_numpy()

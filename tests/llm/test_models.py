@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quadrille.llm import language, ngrams, quality
 
@@ -61,6 +62,97 @@ def test_language_query_on_held_out_rows(spark, sf_dir):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in own]) > 0.95
 
 
+MASK = (1 << 64) - 1
+
+
+def brute_quality(text, logit, bias):
+    """The mean logit of each kind of n-gram, counted one by one with Python's integers."""
+    folded = [32 if b < 33 else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    mix, step, top = 0x9E3779B97F4A7C15, 0x100000001B3, 64 - quality.BITS
+    kinds = []
+    for width in quality.CHARS:
+        own = []
+        for i in range(len(folded) - width + 1):
+            h = width
+            for b in folded[i : i + width]:
+                h = (h * step + b) & MASK
+            own.append((h * mix & MASK) >> top)
+        kinds.append(own)
+    words = []
+    for w in bytes(folded).split(b" "):
+        if w:
+            h = sum((b + 1) * pow(step, k, 1 << 64) for k, b in enumerate(w)) & MASK
+            words.append((h ^ h >> 29) * mix & MASK)
+    kinds.append([w >> top for w in words])
+    kinds.append([0 if a == b else (((a * step + b) & MASK) * mix & MASK) >> top for a, b in zip(words, words[1:], strict=False)])
+    z = bias
+    for k, own in enumerate(kinds):
+        if own:
+            z += sum(float(logit[(k << quality.BITS) + g]) for g in own) / len(own) / quality.KINDS
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    logit, bias = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert np.abs(logit).max() > 0
+    got = {r.doc_id: r for r in quality.op7_quality(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        want = brute_quality(d.text or "", logit, bias)
+        assert abs(got[d.doc_id].score - want) < 1e-6 and got[d.doc_id].predicted == (got[d.doc_id].score >= 0.7)
+
+
+def brute_language(text, net):
+    """Every window by its own convolution with the fitted kernels, weighted by the bytes it holds."""
+    codes = [int(language.CLASS[b]) for b in text.encode()]
+    *kernels, offset, dense, bias = net.params
+    total = np.zeros(len(bias))
+    for at in range(0, max(1, len(codes)), language.LENGTH):
+        own = codes[at : at + language.LENGTH]
+        window = np.array(own + [0] * (language.LENGTH - len(own)))
+        tops = []
+        for w, kernel in zip(language.WIDTHS, kernels, strict=True):
+            best = np.full(language.FILTERS, -np.inf)
+            for i in range(language.LENGTH - w + 1):
+                best = np.maximum(best, sum(kernel[j, window[i + j]] for j in range(w)))
+            tops.append(best)
+        z = np.maximum(np.concatenate(tops) + offset, 0) @ dense + bias
+        p = np.exp(z - z.max())
+        total += p / p.sum() * max(len(own), 1)
+    total /= total.sum()
+    return net.languages[int(total.argmax())], float(total.max())
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = language.fit(docs)
+    got = {r.doc_id: r for r in language.op8_language(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    short = sorted(rows, key=lambda d: len(d.text or ""))
+    for d in short:
+        if not any(map(str.isalpha, d.text or "")):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+        else:
+            name, score = brute_language(d.text, net)
+            assert got[d.doc_id].lang_pred == name and abs(got[d.doc_id].score - score) < 1e-4
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"good text number {i}") for i in range(50)] + [(i, "bad words only") for i in range(2, 40)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or (np.zeros(quality.KINDS << quality.BITS, np.float32), 0.0))
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, sample=5)
+    monkeypatch.setattr(quality, "GRAMS", 100)
+    quality.fit(docs, labels)
+    known = sum(not held(i) for i in range(1, 40))
+    assert [len(seen[0]), len(seen[1])] == [known, 5] and 0 < len(seen[2]) < 5
+
+
 def test_tables_give_the_sums_of_the_filters():
     net = language.Network(["a", "b"])
     net.tables()
