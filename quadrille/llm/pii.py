@@ -137,10 +137,24 @@ _DIGITS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
+
+
+def _alternatives(words: list[str]) -> str:
+    """A pattern of all the words that tries each first letter once."""
+    if words == [""]:
+        return ""
+    heads = sorted({w[0] for w in words if w})
+    branches = [re.escape(c) + _alternatives([w[1:] for w in words if w[:1] == c]) for c in heads]
+    whole = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+    return f"(?:{whole})?" if "" in words else whole
+
+
+_WORD = _alternatives(list(_DIGITS))
 _DOT_WORD = r"dot|point|punkt|punto"
 _GAP = r"[\s,.()-]{1,4}"
-_DIGIT_ONCE = re.compile(rf"(?i)(?<!\w)(?:{_WORD}){_GAP}(?:{_WORD}|[0-9]|{_DOT_WORD}|\+)(?!\w)|(?:[0-9]|(?<!\w)(?:{_DOT_WORD}|plus)){_GAP}(?:{_WORD})(?!\w)|\+\s?(?:{_WORD})(?!\w)")
+#: Both for lower-case text: a spelled digit, and one beside something else that numbers are made of.
+_SPELLED = re.compile(rf"(?<=\W){_WORD}(?!\w)")
+_BESIDE = re.compile(rf"\b(?:{_WORD}{_GAP}(?:{_WORD}|[0-9]|{_DOT_WORD}|\+)(?!\w)|(?:{_DOT_WORD}|plus){_GAP}{_WORD}(?!\w))|[0-9]{_GAP}{_WORD}(?!\w)|\+\s?{_WORD}(?!\w)")
 _ITEM = rf"(?:(?:{_WORD}|{_DOT_WORD}|plus)(?!\w)|[0-9]+|[+.()])"
 _RUN = re.compile(rf"(?i)(?<!\w){_ITEM}(?:[ \t]{{0,2}}[,-]?(?:\r?\n)?[ \t]{{0,2}}{_ITEM})+")
 _RUN_PART = re.compile(rf"(?i)({_WORD})(?!\w)|({_DOT_WORD})(?!\w)|(plus)(?!\w)|[0-9]+|[\s,]+|.", re.DOTALL)
@@ -155,9 +169,14 @@ def _may_identify(parts: list[re.Match]) -> bool:
     return digits >= 13 or digits >= 4 and dots >= 3 or digits >= 9 and any(p[3] or p[0] == "+" for p in parts)
 
 
+def has_spelled(text: str) -> bool:
+    low = "\n" + text.lower()
+    return bool(_SPELLED.search(low) and _BESIDE.search(low))
+
+
 def digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
     """Within runs that may hold an identifier: spelled digits become digits, the space between items goes."""
-    if not _DIGIT_ONCE.search(text):
+    if not has_spelled(text):
         return
     for run in _RUN.finditer(text):
         parts = list(_RUN_PART.finditer(text, run.start(), run.end()))
@@ -213,7 +232,7 @@ def _chain(text: str, transducers: tuple) -> list[Rewritten]:
     for edits in transducers:
         if edits is homoglyph_edits and text.isascii():
             continue
-        layer = Rewritten(text, edits(text))
+        layer = Rewritten(text, edits(text), edits)
         if layer.changed():
             layers.append(layer)
             text = layer.text
@@ -223,10 +242,8 @@ def _chain(text: str, transducers: tuple) -> list[Rewritten]:
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that appear only after rewriting, as spans of the source text: those inside a base span of their kind are left out."""
     chains = [_chain(text, TRANSDUCERS)]
-    if _DIGIT_ONCE.search(text):
-        without = _chain(text, (homoglyph_edits, mark_edits))
-        if [x.text for x in without] != [x.text for x in chains[0]]:
-            chains.append(without)
+    if any(layer.by is digit_edits for layer in chains[0]):
+        chains.append(_chain(text, (homoglyph_edits, mark_edits)))
     known = {kind: ([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS}
     found: set[Span] = set()
     for layers in chains:

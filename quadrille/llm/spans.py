@@ -7,11 +7,12 @@ from collections.abc import Iterable
 
 
 class Rewritten:
-    """text after replacing (start, end, replacement) edits, given in order and without overlap."""
+    """text after replacing (start, end, replacement) edits, given in order and without overlap; by says what made them."""
 
-    __slots__ = ("_out_end", "_out_start", "_src_end", "_src_start", "text")
+    __slots__ = ("_out_end", "_out_start", "_src_end", "_src_start", "by", "text")
 
-    def __init__(self, text: str, edits: Iterable[tuple[int, int, str]]):
+    def __init__(self, text: str, edits: Iterable[tuple[int, int, str]], by: object = None):
+        self.by = by
         parts: list[str] = []
         self._out_start: list[int] = []
         self._out_end: list[int] = []
