@@ -137,12 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         taken.add(r["_id"])
     if not taken:
         return train([])
-    rows = held.filter(F.col("_id").isin(list(taken))).limit(sample).toArrow().combine_chunks()
-    ids, weights = (rows.column(c).combine_chunks() for c in ("ids", "weights"))
-    ends = ids.offsets.to_numpy()
-    ids, weights = ids.values.to_numpy(), weights.values.to_numpy()
-    keys, labels_ = rows.column("_id").to_pylist(), rows.column("_y").to_pylist()
-    return train([(ids[ends[k] : ends[k + 1]], weights[ends[k] : ends[k + 1]], labels_[k]) for k in sorted(range(len(keys)), key=lambda k: (keys[k], labels_[k]))])
+    rows = []
+    for b in held.filter(F.col("_id").isin(list(taken))).limit(sample).toArrow().to_batches():
+        ends, ids, weights = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(), b.column(2).values.to_numpy()
+        rows += [(i, y, ids[a:z], weights[a:z]) for i, y, a, z in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), ends, ends[1:], strict=False)]
+    return train([(ids, weights, y) for _, y, ids, weights in sorted(rows, key=lambda r: r[:2])])
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
