@@ -211,3 +211,14 @@ def power_of_two(v, how: str = "nearest") -> Column:
         return low.cast("int")
     floor = F.pow(F.lit(2.0), F.floor(exact))
     return F.when(_c(v) - floor <= up - _c(v), floor).otherwise(up).cast("int")
+
+
+def legend(value: Column, stops: list[tuple[float, float]]) -> Column:
+    """A channel of a legend of (value, channel) stops: a mix of the nearest stops strictly below and above, or the only one of them.
+
+    A value that equals a stop is mixed from that stop's neighbours; one at an end takes its one neighbour."""
+    table = F.array(*[F.struct(F.lit(float(v)).alias("v"), F.lit(float(c)).alias("c")) for v, c in sorted(stops)])
+    below, above = F.filter(table, lambda s: s["v"] < value), F.filter(table, lambda s: s["v"] > value)
+    low, high = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
+    ratio = (value - low["v"]) / (high["v"] - low["v"])
+    return F.when(F.size(below) == 0, high["c"]).when(F.size(above) == 0, low["c"]).otherwise(low["c"] + (high["c"] - low["c"]) * ratio)

@@ -92,24 +92,33 @@ def polygon_validity(v: View) -> DataFrame:
     return mapped(footprints(v).select("feature_id", F.expr("feature_id % 7 = 0"), "w", "h"), fn, "feature_id long, valid boolean")
 
 
-@query(f"select feature_id, greatest(1, cast(floor(w * h * 0.025e0) as bigint)) as placed, true as inside from {SIDES} s")
+@query(f"select feature_id, greatest(1, cast(floor(w * h * 0.025e0) as bigint)) as placed, case when w * h * 0.025e0 >= 1 then greatest(1, cast(floor(w * h * 0.025e0) as bigint)) else 1 end as inside, cast(0 as bigint) as in_hole from {SIDES} s")
 def random_points_in_polygon(v: View) -> DataFrame:
+    """Points placed by area, and how many of them lie inside the ring and inside the box of another feature's size beyond it, counted by plain comparisons."""
+
     def fn(w, h):
         p = mesh.points_in_polygon([box(w, h)])
-        return len(p), bool(mesh.inside_polygon(p, [box(w, h)]).all())
+        x, y = p[:, 0], p[:, 1]
+        return len(p), int(((x >= 0) & (x <= w) & (y >= 0) & (y <= h)).sum()), int(((x > w) | (y > h)).sum())
 
-    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, placed long, inside boolean")
+    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, placed long, inside long, in_hole long")
 
 
-@query(f"select feature_id, cast(8 as bigint) as vertices, cast(12 as bigint) as faces, cast(0 as bigint) as open_edges, cast(1 as bigint) as parts from {SIDES} s")
+@query(f"select feature_id, 8 * (1 + feature_id % 3) as vertices, 12 * (1 + feature_id % 3) - feature_id % 2 as faces, 3 * (feature_id % 2) as open_edges, 1 + feature_id % 3 as parts from {SIDES} s")
 def weld_and_topology(v: View) -> DataFrame:
-    """An extrusion with separate walls, welded: eight vertices, closed, in one part."""
-
-    def fn(w, h, top):
-        p, f = mesh.weld(*mesh.unweld(*mesh.extrude(box(w, h), [], 0.0, top)))
+    """One to three extrusions with separate walls, every second set without one face, welded: corners, faces, open edges, parts."""
+
+    def fn(k, w, h, top):
+        points, faces = [], []
+        for n in range(1 + k % 3):
+            p, f = mesh.unweld(*mesh.extrude(box(w, h), [], 0.0, top))
+            faces.append(f + sum(map(len, points)))
+            points.append(p + (n * (w + 1.0), 0.0, 0.0))
+        p, f = np.concatenate(points), np.concatenate(faces)
+        p, f = mesh.weld(p, f[1:] if k % 2 else f)
         return len(p), len(f), len(mesh.boundary_edges(f)), len(mesh.separate(p, f))
 
-    return mapped(footprints(v).select("feature_id", "w", "h", "top"), fn, "feature_id long, vertices long, faces long, open_edges long, parts long")
+    return mapped(footprints(v).select("feature_id", F.col("feature_id").alias("k"), "w", "h", "top"), fn, "feature_id long, vertices long, faces long, open_edges long, parts long")
 
 
 @query(f"select feature_id, round(2 * (w * h + w * top + h * top), 3) as area, true as split from {SIDES} s")
@@ -122,16 +131,18 @@ def cut_by_plane(v: View) -> DataFrame:
     return mapped(footprints(v).select("feature_id", "w", "h", "top"), fn, "feature_id long, area double, split boolean")
 
 
-@query(f"select feature_id, true as meets, w + 1 <= 3e0 as far from {SIDES} s")
+@query(f"""select feature_id, least(x0, x1, x2) <= w and greatest(x0, x1, x2) >= 0e0 and y <= h and y >= 0e0 and least(z0, z1, z2) <= top and greatest(z0, z1, z2) >= 0e0
+    and not (w < x0 and w < x1 and w < x2) as meets from (select *, cast(feature_id * 7 % 31 as double) - 5e0 as x0, cast(feature_id * 7 % 31 as double) + 1e0 as x1, cast(feature_id * 7 % 31 as double) - 2e0 as x2,
+    cast(feature_id * 11 % 41 as double) - 8e0 as y, cast(feature_id * 3 % 17 as double) - 4e0 as z0, cast(feature_id * 3 % 17 as double) - 4e0 as z1, cast(feature_id * 3 % 17 as double) - 4e0 as z2 from {SIDES} s)""")
 def box_meets_triangle(v: View) -> DataFrame:
-    """A triangle through the box, and one whose corner lies one unit beyond its side against a box of side three."""
+    """A triangle flat along y and z (a segment of x) somewhere about the box: it meets the box where the intervals of all axes meet."""
 
-    def fn(w, h, top):
-        near = np.array([[[w / 2, h / 2, -1], [w / 2, h / 2, top + 1], [w / 2, h / 2 + 0.1, 0]]])
-        far = np.array([[[w + 1, 0, 0], [w + 2, 0, 0], [w + 1, 1, 0]]])
-        return bool(mesh.box_meets_triangles((0, 0, 0), (w, h, top), near)[0]), bool(mesh.box_meets_triangles((0, 0, 0), (3, 3, 3), far)[0])
+    def fn(k, w, h, top):
+        x, y, z = float(k * 7 % 31), float(k * 11 % 41) - 8, float(k * 3 % 17) - 4
+        tri = np.array([[[x - 5, y, z], [x + 1, y, z], [x - 2, y, z]]])
+        return (bool(mesh.box_meets_triangles((0, 0, 0), (w, h, top), tri)[0]),)
 
-    return mapped(footprints(v).select("feature_id", "w", "h", "top"), fn, "feature_id long, meets boolean, far boolean")
+    return mapped(footprints(v).select("feature_id", F.col("feature_id").alias("k"), "w", "h", "top"), fn, "feature_id long, meets boolean")
 
 
 @query()
@@ -177,7 +188,10 @@ def skirts(v: View) -> DataFrame:
     return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, border long, added long")
 
 
-@query()
+@query("""with recursive o as (select category, feature_id, triangle_count, row_number() over (partition by category order by feature_id) as k from features),
+    s(category, k, total, batch) as (select category, k, triangle_count, 0 from o where k = 1 union all
+    select o.category, o.k, case when s.total + o.triangle_count >= 600 then o.triangle_count else s.total + o.triangle_count end, case when s.total + o.triangle_count >= 600 then s.batch + 1 else s.batch end
+    from s join o on o.category = s.category and o.k = s.k + 1) select o.category, o.feature_id, s.batch from s join o on o.category = s.category and o.k = s.k""")
 def batch_packing(v: View) -> DataFrame:
     """Batches of a category's primitives: a new one where the running count would reach the limit, a sum with resets."""
     rows = F.array_sort(F.collect_list(F.struct("feature_id", "triangle_count")))
@@ -227,20 +241,24 @@ def pack_depth(v: View) -> DataFrame:
     return v("features").select("feature_id", ((F.col("feature_id") % 1000).cast("double") / 1000.0).alias("d")).select("feature_id", byte(256.0).alias("b0"), byte(65536.0).alias("b1"), byte(16777216.0).alias("b2"), F.round(F.floor(d * 16777216.0).cast("double") / 16777216.0, 7).alias("unpacked"))
 
 
-@query("select v0 as vertex, min(least(v0, v1)) over () as component from (select distinct v0, v1 from edges)")
+WELDS = "(select feature_id as u, feature_id + 7 as v from features where feature_id % 35 < 28 union all select feature_id, feature_id - feature_id % 35 from features where feature_id % 5 = 0 and feature_id >= 35)"
+
+
+@query(f"""with recursive e as (select u, v from {WELDS} w union select v, u from {WELDS} w),
+    r(vertex, label) as (select distinct u, u from e union select e.v, r.label from r join e on e.u = r.vertex)
+    select vertex, min(label) as component from r group by vertex""")
 def welded_groups(v: View) -> DataFrame:
-    """Connected parts of the vertex graph by minimum labels; one part here. The loop ends when no label changes."""
-    e = v("edges").select("v0", "v1").distinct()
-    both = e.unionByName(e.select(F.col("v1").alias("v0"), F.col("v0").alias("v1"))).distinct()
-    label = both.groupBy(F.col("v0").alias("vertex")).agg(F.least(F.min("v1"), F.first("v0")).alias("component"))
-    for _ in range(8):  # labels double their reach: 2^8 covers the 97 vertices
-        near = both.join(label, both.v1 == label.vertex).groupBy("v0").agg(F.min("component").alias("near"))
-        stepped = label.join(near, label.vertex == near.v0).select("vertex", F.least("component", "near").alias("component"))
-        up = stepped.select(F.col("vertex").alias("component"), F.col("component").alias("up"))
-        label = stepped.join(up, "component").select("vertex", F.least("component", "up").alias("component"))
-        if not label.select(F.min("component") != F.max("component")).first()[0]:
-            break
-    return e.join(label, e.v0 == label.vertex).select("vertex", "component")
+    """Connected parts of vertices that touch: chains of five and hubs, many parts; each vertex with the smallest one of its part."""
+    from quadrille.operators import graph
+    from quadrille.plans.flows import checkpointer
+
+    f = v("features").select(F.col("feature_id").alias("u"))
+    edges = f.filter("u % 35 < 28").select("u", (F.col("u") + 7).alias("v")).union(f.filter("u % 5 = 0 and u >= 35").select("u", (F.col("u") - F.col("u") % 35).alias("v")))
+    cut = checkpointer(f.sparkSession)
+    labels = graph.components(edges, lambda df, _: cut(df))
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    alone = edges.filter("u = v").select(F.col("u").alias("vertex"), F.col("u").alias("component")).join(labels.select(F.col("node").alias("vertex")), "vertex", "left_anti")
+    return graph.join_on_hot(labels, least, "root", "node").select(F.col("node").alias("vertex"), "component").union(alone)
 
 
 @query("select category, feature_id, dist from (select a.category, b.feature_id, round(sqrt((a.mx - b.minx) * (a.mx - b.minx) + (a.my - b.miny) * (a.my - b.miny)), 9) as dist, row_number() over (partition by a.category order by round(sqrt((a.mx - b.minx) * (a.mx - b.minx) + (a.my - b.miny) * (a.my - b.miny)), 9), b.feature_id) as k from (select category, min(minx) as mx, min(miny) as my from features group by category) a join features b on a.category = b.category) where k = 1")

@@ -551,17 +551,10 @@ def ecef_round_trip(v: View) -> DataFrame:
     return xyz.select("instance_id", *[F.round(c, d).alias(n) for c, d, n in zip(geo.geographic("x", "y", "z"), (7, 7, 3), ("lon", "lat", "alt"), strict=True)])
 
 
-@query("""select instance_id, round(-sin(radians(lon)), 6) as ex, round(cos(radians(lon)), 6) as ey, round(cos(radians(lat)) * cos(radians(lon)), 6) as ux, round(sin(radians(lat)), 6) as uz from instances where alt = 0""")
-def enu_matrix(v: View) -> DataFrame:
-    """At the surface the up vector of the ellipsoid is the geographic one."""
-    m = geo.enu(*geo.ecef("lon", "lat", "alt"))
-    return v("instances").filter("alt = 0").select("instance_id", F.round(m[0], 6).alias("ex"), F.round(m[1], 6).alias("ey"), F.round(m[6], 6).alias("ux"), F.round(m[8], 6).alias("uz"))
-
-
 @query("""select instance_id, round(-sin(radians(lon)), 6) as ex, round(cos(radians(lon)), 6) as ey, round(p * cos(radians(lon)) / sqrt(p * p + q * q), 6) as ux, round(q / sqrt(p * p + q * q), 6) as uz from
     (select instance_id, lon, (n + alt) * cos(radians(lat)) / (6378137e0 * 6378137e0) as p, (n * (1e0 - 6.69437999014e-3) + alt) * sin(radians(lat)) / (6356752.3142e0 * 6356752.3142e0) as q from
     (select *, 6378137e0 / sqrt(1e0 - 6.69437999014e-3 * sin(radians(lat)) * sin(radians(lat))) as n from instances))""")
-def enu_matrix_any_altitude(v: View) -> DataFrame:
+def enu_matrix(v: View) -> DataFrame:
     """All instances: above the surface the up vector is that of the scaled ellipsoid through the point."""
     m = geo.enu(*geo.ecef("lon", "lat", "alt"))
     return v("instances").select("instance_id", F.round(m[0], 6).alias("ex"), F.round(m[1], 6).alias("ey"), F.round(m[6], 6).alias("ux"), F.round(m[8], 6).alias("uz"))
@@ -700,12 +693,18 @@ def octree_navigation(v: View) -> DataFrame:
     return f.select("feature_id", "depth", F.expr("x div 2").alias("parent_x"), F.expr("y div 2").alias("parent_y"), F.greatest(F.lit(0).cast("bigint"), F.col("x") - 1).alias("left_x"), F.when(F.col("x") + 1 < F.col("side"), F.col("x") + 1).alias("right_x"))
 
 
-@query("""select feature_id, h, round(case when h <= 0 then 0e0 when h >= 40 then 1e0 when h < 10 then (h / 10e0) * 0.5e0 when h = 10 then 0.2222222222222222e0 when h < 45 then 0.5e0 + (h - 10e0) / 35e0 * 0.5e0 else 1e0 end, 9) as red from (select feature_id, cast(feature_id % 9 * 5 as double) as h from features) where feature_id % 9 not in (2, 8)""")
+LEGEND = [(0.0, 0.0), (10.0, 0.5), (45.0, 1.0)]
+LEGEND_SQL = ", ".join(f"({v}e0, {c}e0)" for v, c in LEGEND)
+
+
+@query(f"""select feature_id, h, round(case when lo.v is null then hi.c when hi.v is null then lo.c else lo.c + (hi.c - lo.c) * ((h - lo.v) / (hi.v - lo.v)) end, 9) as red
+    from (select feature_id, cast(feature_id % 13 * 5 - 5 as double) as h, (select max(v) from (values {LEGEND_SQL}) s(v, c) where v < cast(feature_id % 13 * 5 - 5 as double)) as below,
+    (select min(v) from (values {LEGEND_SQL}) s(v, c) where v > cast(feature_id % 13 * 5 - 5 as double)) as above from features) f
+    left join (values {LEGEND_SQL}) lo(v, c) on lo.v = below left join (values {LEGEND_SQL}) hi(v, c) on hi.v = above""")
 def legend_colour(v: View) -> DataFrame:
-    """Stops at 0 (0.0), 10 (0.5) and 45 (1.0), mixed between the strictly lower and strictly higher stop."""
-    h = F.col("h")
-    red = F.when(h <= 0, 0.0).when(h >= 45, 1.0).when(h < 10, h / 10.0 * 0.5).otherwise((h - 10.0) / 35.0 * 0.5 + 0.5)
-    return v("features").select("feature_id", (F.col("feature_id") % 9 * 5).cast("double").alias("h")).filter("feature_id % 9 not in (2, 8)").select("feature_id", "h", F.round(red, 9).alias("red"))
+    """Heights below, at, between and above the stops: a value is mixed from the strictly lower and the strictly higher stop."""
+    f = v("features").select("feature_id", (F.col("feature_id") % 13 * 5 - 5).cast("double").alias("h"))
+    return f.select("feature_id", "h", F.round(geo.legend(F.col("h"), LEGEND), 9).alias("red"))
 
 
 # Surface classes and their colours.

@@ -67,4 +67,5 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not used:
         return body
-    return "with " + ",\n".join(used) + ("," + body[4:] if body.lower().startswith("with") else "\n" + body)
+    start = "with recursive" if body.lower().startswith("with recursive") else "with"
+    return f"{start} " + ",\n".join(used) + ("," + body[len(start) :] if body.lower().startswith("with") else "\n" + body)
