@@ -145,31 +145,32 @@ def box_meets_triangle(v: View) -> DataFrame:
     return mapped(footprints(v).select("feature_id", F.col("feature_id").alias("k"), "w", "h", "top"), fn, "feature_id long, meets boolean")
 
 
-@query()
+@query(f"select feature_id, cast(2 * (w + 1) * (h + 1) as bigint) as faces, true as fewer, (w + 1) * (h + 1) as area, cast(2 * (w + h + 2) as bigint) as old_border from {SIDES} s")
 def decimate_meshes(v: View) -> DataFrame:
-    """A flat grid loses faces and keeps its area."""
+    """A flat grid over the footprint loses faces and keeps its area."""
 
     def fn(w, h):
-        p, f = mesh.height_net(np.zeros((int(h) % 5 + 3, int(w) % 5 + 3)), 1.0)
+        p, f = mesh.height_net(np.zeros((int(h) + 2, int(w) + 2)), 1.0)
         q, g = mesh.decimate(p, f, 10.0)
-        return len(f), len(g), round(mesh.area(p, f) - mesh.area(q, g), 6)
+        return len(f), len(g) < len(f), round(mesh.area(q, g), 6), len(mesh.boundary_edges(f))
 
-    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, faces long, kept long, lost_area double")
+    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, faces long, fewer boolean, area double, old_border long")
 
 
-@query()
+@query(f"select feature_id, cast(2 * w * h as bigint) as voxels, cast(0 as bigint) as open_edges, w as x, h as y from {SIDES} s")
 def voxel_isosurface(v: View) -> DataFrame:
-    """An extrusion voxelized, and the surface round its voxels: always closed."""
+    """An extrusion two high as voxels, and the surface half way to the empty voxels around: always closed, as wide as the voxels."""
 
     def fn(w, h):
-        grid, _ = mesh.voxelize(*mesh.extrude(box(2 + w % 3, 2 + h % 3), [], 0.0, 2.0), 1.0)
-        p, f = mesh.isosurface(np.pad(1.0 - grid, 1, constant_values=1.0), 0.8)
-        return int(grid.sum()), len(f), len(mesh.boundary_edges(f))
+        grid, _ = mesh.voxelize(*mesh.extrude(box(w, h), [], 0.0, 2.0), 1.0)
+        p, f = mesh.isosurface(np.pad(1.0 - grid, 1, constant_values=1.0), 0.5)
+        size = p.max(axis=0) - p.min(axis=0)
+        return int(grid.sum()), len(mesh.boundary_edges(f)), round(float(size[0]), 6), round(float(size[1]), 6)
 
-    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, voxels long, faces long, open_edges long")
+    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, voxels long, open_edges long, x double, y double")
 
 
-@query()
+@query("select feature_id, cast(4 * 16 + 2 as bigint) as vertices, cast(3 * 2 * 16 + 2 * 16 as bigint) as faces, cast(0 as bigint) as open_edges from features")
 def pipe_meshes(v: View) -> DataFrame:
     def fn(w, h, top):
         p, f = mesh.pipe([(0, 0, 0), (w, 0, 0), (w, h, 0), (w, h, top)], 0.5)
@@ -178,14 +179,16 @@ def pipe_meshes(v: View) -> DataFrame:
     return mapped(footprints(v).select("feature_id", "w", "h", "top"), fn, "feature_id long, vertices long, faces long, open_edges long")
 
 
-@query()
+@query(f"select feature_id, cast(2 * (w + h + 2) as bigint) as border, cast(4 * (w + h + 2) as bigint) as added, round(2 * (w + h + 2) * 2e0, 6) as area from {SIDES} s")
 def skirts(v: View) -> DataFrame:
+    """A grid over the footprint with a skirt of two: its border, the faces that the skirt adds and their area."""
+
     def fn(w, h):
-        p, f = mesh.height_net(np.zeros((int(h) % 5 + 3, int(w) % 5 + 3)), 1.0)
+        p, f = mesh.height_net(np.zeros((int(h) + 2, int(w) + 2)), 1.0)
         q, g = mesh.skirt(p, f, 2.0)
-        return len(mesh.boundary_edges(f)), len(g) - len(f)
+        return len(mesh.boundary_edges(f)), len(g) - len(f), round(mesh.area(q, g) - mesh.area(p, f), 6)
 
-    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, border long, added long")
+    return mapped(footprints(v).select("feature_id", "w", "h"), fn, "feature_id long, border long, added long, area double")
 
 
 @query("""with recursive o as (select category, feature_id, triangle_count, row_number() over (partition by category order by feature_id) as k from features),
