@@ -53,7 +53,9 @@ def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=list(names))
 
-    return df.mapInArrow(run, schema)
+    # kernels are long and rows are short: a small table in few files is dealt to all cores first
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return (df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)).mapInArrow(run, schema)
 
 
 def box(w: float, h: float) -> list[tuple[float, float]]:
