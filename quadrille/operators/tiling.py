@@ -154,16 +154,33 @@ def box_join(left: DataFrame, right: DataFrame, lbox: list[str], rbox: list[str]
     return a.join(b, ["cx", "cy"]).filter(touch & first).drop("cx", "cy")
 
 
-def bilinear(points: DataFrame, raster: DataFrame, fx: Column, fy: Column, out: str = "sample") -> DataFrame:
+def neighbourhoods(raster: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, ix, iy and v0..v3: a cell and its neighbours to the east, north and north-east (numbers only, else null), made on the raster's side once."""
+    cells = raster.filter(F.col("v").isNotNull() & ~F.isnan("v")).select(*keys, F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("v").cast("double").alias("v"))
+    spots = F.array(*[F.struct((F.col("ix") - dx).alias("ix"), (F.col("iy") - dy).alias("iy"), F.lit(dx + 2 * dy).alias("k"), "v") for dx in (0, 1) for dy in (0, 1)])
+    spread = cells.select(*keys, F.explode(spots).alias("s")).select(*keys, "s.*")
+    return spread.groupBy(*keys, "ix", "iy").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(4)])
+
+
+def bilinear(points: DataFrame, raster: DataFrame, fx: Column, fy: Column, out: str = "sample", keys: tuple[str, ...] = ()) -> DataFrame:
     """points with the bilinear value of a raster (ix, iy, v) at grid coordinates; missing corners and NaN count as 0.
 
-    The four corners are one explode and one equi-join on the cell, then a sum by point; Spark broadcasts a small raster.
-    """
-    key = points.columns
-    base = points.withColumn("_fx", fx).withColumn("_fy", fy)
-    corners = F.array(*[F.struct((F.floor("_fx") + dx).cast("long").alias("ix"), (F.floor("_fy") + dy).cast("long").alias("iy"), ((F.col("_fx") - F.floor("_fx")) if dx else (1.0 - (F.col("_fx") - F.floor("_fx")))).alias("wx"), ((F.col("_fy") - F.floor("_fy")) if dy else (1.0 - (F.col("_fy") - F.floor("_fy")))).alias("wy")) for dx in (0, 1) for dy in (0, 1)])
-    spread = base.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", F.explode(corners)).select(*key, "_id", "_c.*")
-    cells = raster.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("v"))
-    met = spread.join(cells, ["ix", "iy"], "left")
-    value = F.when(F.isnan("v") | F.col("v").isNull(), 0.0).otherwise(F.col("v"))
-    return met.groupBy(*key, "_id").agg(F.sum(value * F.col("wx") * F.col("wy")).alias(out)).drop("_id")
+    One equi-join on the cell; points are neither multiplied nor grouped. keys: columns of both that tell rasters apart."""
+    x, y = F.col("_fx") - F.floor("_fx"), F.col("_fy") - F.floor("_fy")
+    v = [F.coalesce(F.col(f"v{k}"), F.lit(0.0)) for k in range(4)]
+    value = v[0] * (1.0 - x) * (1.0 - y) + v[1] * x * (1.0 - y) + v[2] * (1.0 - x) * y + v[3] * x * y
+    base = points.withColumn("_fx", fx).withColumn("_fy", fy).withColumns({"ix": F.floor("_fx").cast("long"), "iy": F.floor("_fy").cast("long")})
+    return base.join(neighbourhoods(raster, keys), [*keys, "ix", "iy"], "left").select(*points.columns, value.alias(out))
+
+
+def coverage_heights(points: DataFrame, lon: str, lat: str, rasters: DataFrame, last: bool = False, out: str = "ground") -> DataFrame:
+    """points with the height of all coverages (path, ix, iy, v, west, north, step_x, step_y) at them: the sum, or the last one by path that is not 0.
+
+    Points meet the coverages that hold them by a join with the table of coverages, a row per file; 0 where there is none."""
+    covers = rasters.groupBy("path").agg(*[F.first(c).alias(f"_{c}") for c in ("west", "north", "step_x", "step_y")], F.max("ix").alias("_nx"), F.max("iy").alias("_ny"))
+    inside = F.col(lon).between(F.col("_west"), F.col("_west") + F.col("_step_x") * (F.col("_nx") + 1)) & F.col(lat).between(F.col("_north") - F.col("_step_y") * (F.col("_ny") + 1), F.col("_north"))
+    met = points.withColumn("_id", F.monotonically_increasing_id()).join(covers, inside, "left")
+    sampled = bilinear(met, rasters.select("path", "ix", "iy", "v"), (F.col(lon) - F.col("_west")) / F.col("_step_x"), (F.col("_north") - F.col(lat)) / F.col("_step_y"), "_v", ("path",))
+    value = F.max_by(F.when(F.col("_v") != 0, F.col("_v")), F.when(F.col("_v") != 0, F.col("path"))) if last else F.sum("_v")
+    kept = [F.first(c).alias(c) for c in points.columns]
+    return sampled.groupBy("_id").agg(*kept, F.coalesce(value, F.lit(0.0)).alias(out)).drop("_id")

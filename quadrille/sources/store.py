@@ -3,8 +3,30 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session that all machines see (spark.checkpoint.dir); where none is set a temporary one, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/quadrille-{spark.sparkContext.applicationId}"
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; it goes when the driver's JVM ends in good order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quadrille-{uuid.uuid4().hex[:12]}-{label}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:

@@ -74,6 +74,30 @@ def test_geojson_and_kml(spark, tmp_path):
     assert (r.name, r.longitude, r.heading, r.scale_x) == ("m", 127.17, 5.0, 0.0)
 
 
+def test_files_of_many_lines(spark, tmp_path):
+    """Indented documents are read as whole files, not line by line."""
+    square = [[[0, 0], [1, 0], [1, 1], [0, 0]]]
+    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "id": "7", "geometry": {"type": "Polygon", "coordinates": square}, "properties": {"a": 1}}] * 2}
+    (tmp_path / "a.geojson").write_text(json.dumps(doc, indent=1))
+    assert vector.geojson(spark, str(tmp_path / "a.geojson")).count() == 2
+    (tmp_path / "b.geojson").write_text('{"type":"FeatureCollection","features":[\n' + ",\n".join(map(json.dumps, doc["features"])) + "\n]}")
+    assert [r.feature_id for r in vector.geojson_lines(spark, str(tmp_path / "b.geojson")).collect()] == ["7", "7"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "tileset.json").write_text(json.dumps({"geometricError": 3, "root": {"boundingVolume": {"region": [0, 0, 1, 1, 0, 9]}}}, indent=2))
+    assert meshes.read_tilesets(spark, str(tmp_path)).first().region == [0, 0, 1, 1, 0, 9]
+    (tmp_path / "i.gml").write_text('<core:CellSpace gml:id="s1">\n<gml:exterior>\n<gml:LinearRing>\n<gml:posList>0 0 0\n1 0 0\n1 1 0\n0 0 0</gml:posList></gml:LinearRing></gml:exterior>\n</core:CellSpace>')
+    assert [(r.object_id, len(r.ring)) for r in vector.indoorgml(spark, str(tmp_path / "i.gml")).collect()] == [("s1", 4)]
+
+
+def test_coverages(spark):
+    cells = [("a", x, y, 2.0, 0.0, 10.0, 1.0, 1.0) for x in range(10) for y in range(10)] + [("b", x, y, 3.0 if x else 0.0, 5.0, 10.0, 1.0, 1.0) for x in range(5) for y in range(10)]
+    rasters = spark.createDataFrame(cells, "path string, ix long, iy long, v double, west double, north double, step_x double, step_y double")
+    points = spark.createDataFrame([(1, 2.0, 8.0), (2, 7.0, 8.0), (3, 5.0, 8.0), (4, 50.0, 8.0), (4, 50.0, 8.0)], "id int, lon double, lat double")
+    total = {(r.id, r.ground) for r in tiling.coverage_heights(points, "lon", "lat", rasters).collect()}
+    last = [(r.id, r.ground) for r in tiling.coverage_heights(points, "lon", "lat", rasters, last=True).collect()]
+    assert total == {(1, 2.0), (2, 5.0), (3, 2.0), (4, 0.0)} and sorted(last) == [(1, 2.0), (2, 3.0), (3, 2.0), (4, 0.0), (4, 0.0)]
+
+
 def test_city_and_indoor(spark, tmp_path):
     ring = "<gml:{0}><gml:LinearRing>{1}</gml:LinearRing></gml:{0}>"
     poly = "<gml:Polygon>" + ring.format("exterior", "<gml:posList>0 0 0 1 0 0 1 1 0 0 0 0</gml:posList>") + ring.format("interior", "".join(f"<gml:pos>{p}</gml:pos>" for p in ("0 0 0", "1 0 0", "1 1 0"))) + "</gml:Polygon>"

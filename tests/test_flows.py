@@ -85,6 +85,55 @@ def test_instances_and_merge(spark, sf_dir, tmp_path):
     assert len([n for n in codes(doc["root"]) if "content" in n]) == 2
 
 
+def test_surfaces_pipes_and_terrain(spark, tmp_path):
+    from quadrille.plans.file_queries import tiff
+
+    flat = [[127, 37], [127.001, 37], [127.001, 37.001], [127, 37.001], [127, 37]]
+    shapes = [("Polygon", [flat], {"height": 10}), ("Polygon", [[[x, y, 20 + 1000 * (x - 127)] for x, y in flat]], {}), ("Polygon", [[[127, 37, 0], [127.001, 37, 0], [127.001, 37, 30], [127, 37, 30], [127, 37, 0]]], {}), ("LineString", [[127, 37, 5], [127.001, 37, 5], [127.001, 37.001, 9]], {"diameter": 2000})]
+    doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "id": str(k), "geometry": {"type": t, "coordinates": c}, "properties": p} for k, (t, c, p) in enumerate(shapes)]}
+    (tmp_path / "f.geojson").write_text(json.dumps(doc))
+    (tmp_path / "t.tif").write_bytes(tiff(np.full((8, 8), 100.0), 126.0, 38.0, 0.5))
+    for terrain in (None, str(tmp_path / "t.tif")):
+        out = tmp_path / f"out{bool(terrain)}"
+        doc = flows.features(spark, flows.Options(input=str(tmp_path / "f.geojson"), output=str(out), tiles_version="1.0", terrain=terrain))
+        check_tree(doc, out)
+        tiles = [meshes.unpack_tile((out / n["content"]["uri"]).read_bytes()) for n in codes(doc["root"]) if "content" in n]
+        assert sorted(i for t in tiles for i in t["batch"]["FeatureId"]) == ["0", "1", "2", "3"]
+        v = np.concatenate([meshes.gltf(t["body"])[0] for t in tiles])
+        low, high = v[:, 2].min(), v[:, 2].max()
+        lift = 100 if terrain else 0
+        assert (low, high) == (pytest.approx(lift, abs=1.1), pytest.approx(30 + lift, abs=0.1))
+
+
+def test_models_with_levels(spark, tmp_path):
+    from quadrille.plans.file_queries import mesh_bytes
+    from quadrille.operators import mesh
+
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        p, f = mesh.extrude([(0.0, 0.0), (20.0, 0.0), (20.0, 10.0), (0.0, 10.0)], [], 0.0, 30.0)
+        (tmp_path / "in" / f"m{k}.ply").write_bytes(mesh_bytes("ply", p + (200000 + 40 * k, 500000, 0), f))
+    o = flows.Options(input=str(tmp_path / "in"), output=str(tmp_path / "out"), crs=5186, tiles_version="1.0", max_triangles=20, max_lod=2, z_offset=5.0)
+    doc = flows.models(spark, o)
+    check_tree(doc, tmp_path / "out")
+    by_depth = {}
+    work = [(doc["root"], 0)]
+    while work:
+        node, d = work.pop()
+        work += [(c, d + 1) for c in node.get("children", ())]
+        if "content" in node:
+            t = meshes.unpack_tile((tmp_path / "out" / node["content"]["uri"]).read_bytes())
+            by_depth.setdefault(bool(node.get("children")), []).append(t["feature"]["BATCH_LENGTH"])
+            assert 4.9 < meshes.gltf(t["body"])[0][:, 2].min() < 5.1 + 4
+    assert sum(by_depth[False]) == 6 and sum(by_depth[True]) > 0
+
+
+def test_unread_options_raise(spark, tmp_path):
+    for flow, options in ((flows.features, {"rotate_x": 90.0}), (flows.merge, {"terrain": "x"}), (flows.models, {"proj": "+proj=utm"}), (flows.point_cloud, {"max_lod": 1})):
+        with pytest.raises(ValueError, match="does not know"):
+            flow(spark, flows.Options(input=str(tmp_path), output=str(tmp_path), **options))
+
+
 def test_options():
     with pytest.raises(ValueError):
         flows.Options().checked()
