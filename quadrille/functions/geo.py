@@ -181,10 +181,14 @@ def quadrant(x, y, midx, midy) -> Column:
     return F.when(north, F.when(east, 2).otherwise(3)).otherwise(F.when(east, 1).otherwise(0))
 
 
+# Letters of the point octree by z * 4 + x * 2 + y.
+OCTANTS = "ACBDEGFH"
+
+
 def octant_letter(x, y, z, midx, midy, midz) -> Column:
     """Letter of the point octree: bits z=4, x=2, y=1 where above the middle."""
     k = F.when(_c(z) > _c(midz), 4).otherwise(0) + F.when(_c(x) > _c(midx), 2).otherwise(0) + F.when(_c(y) > _c(midy), 1).otherwise(0)
-    return F.substring(F.lit("ACBDEGFH"), k + 1, F.lit(1))
+    return F.substring(F.lit(OCTANTS), k + 1, F.lit(1))
 
 
 def ring_octant(x, y, z, midx, midy, midz) -> Column:

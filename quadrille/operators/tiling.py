@@ -7,8 +7,12 @@ the first levels use a rank made of bounded parts (see `first_of_each`).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quadrille.functions import geo
@@ -61,31 +65,77 @@ def descend(df: DataFrame, levels: int, kind: str, x: str, y: str, z: str | None
     return df
 
 
+#: Points of a node up to which one task finishes the whole tree below it.
+FINISH = 200_000
+_BOX = ("nx0", "nx1", "ny0", "ny1", "nz0", "nz1")
+
+
+def _limit(level: int, root_limit: int, most: int, growth: float) -> int:
+    limit = root_limit
+    for _ in range(level):
+        limit = min(most, int(limit * growth))
+    return limit
+
+
+def finish_nodes(nodes: DataFrame, x: str, y: str, z: str, order: list[str], limits: list[int], level: int, keep: list[str]) -> DataFrame:
+    """keep and node_code of the points of small nodes (code, box), a task for each: sorted once, then halved by arrays down to the last level."""
+    schema = StructType([*nodes.select(*keep).schema.fields, StructField("node_code", StringType())])
+
+    def run(key, table):
+        rank = pc.sort_indices(table.select(order), sort_keys=[(c, "ascending") for c in order], null_placement="at_start").to_numpy()
+        xyz = np.stack([table.column(c).to_numpy().astype(np.float64) for c in (x, y, z)], axis=1)
+        box = np.array([table.column(c)[0].as_py() for c in _BOX]).reshape(3, 2)
+        code = np.empty(table.num_rows, object)
+        work = [(rank, key[0].as_py(), box, level)]
+        while work:
+            ids, name, ends, deep = work.pop()
+            own = len(ids) if deep == len(limits) else limits[deep]
+            code[ids[:own]] = name
+            if len(rest := ids[own:]):
+                mid = ends.sum(axis=1) / 2
+                above = xyz[rest] > mid
+                octant = above[:, 2] * 4 + above[:, 0] * 2 + above[:, 1]
+                for k in np.unique(octant):
+                    up = np.array([k >> 1 & 1, k & 1, k >> 2], bool)
+                    half = np.where(up[:, None], np.stack((mid, ends[:, 1]), axis=1), np.stack((ends[:, 0], mid), axis=1))
+                    work.append((rest[octant == k], name + geo.OCTANTS[k], half, deep + 1))
+        return table.select(keep).append_column("node_code", pa.array(code, pa.string()))
+
+    return nodes.groupBy("code").applyInArrow(run, schema)
+
+
 def point_lod_tree(points: DataFrame, x: str, y: str, z: str, order: list[str], box: tuple[float, ...], root_limit: int, most: int, depth: int = 19, growth: float = 2.0, cut=None) -> DataFrame:
     """points with node_code: each node keeps its first points, the rest goes to octants; the limit grows by level up to `most`.
 
-    What is left at the last level stays there, so no point is lost. `cut` (DataFrame to DataFrame) may write the state out
-    every few levels to end its lineage. The loop stops when nothing is left.
+    What is left at the last level stays there, so no point is lost. Nodes of over FINISH points split level by level across
+    tasks; smaller ones are finished by one task each. `cut` (DataFrame to DataFrame) may write the state out to end its lineage: only the
+    points that large nodes hand down, never those that are settled.
     """
+    keep = points.columns
     x0, y0, z0, x1, y1, z1 = (float(v) for v in box)
-    rest = points.select("*", F.lit("R").alias("code"), *[F.lit(v).alias(n) for n, v in zip(("nx0", "nx1", "ny0", "ny1", "nz0", "nz1"), (x0, x1, y0, y1, z0, z1), strict=True)])
-    done, limit = [], root_limit
+    limits = [_limit(k, root_limit, most, growth) for k in range(depth)]
+    rest = points.select("*", F.lit("R").alias("code"), *[F.lit(v).alias(n) for n, v in zip(_BOX, (x0, x1, y0, y1, z0, z1), strict=True)])
+    done = []
     for level in range(depth + 1):
         if level == depth:
-            done.append(rest)
+            done.append(rest.select(*keep, F.col("code").alias("node_code")))
             break
-        split = first_of_each(rest, ["code"], order, F.lit(limit), limit, order)
+        sizes = rest.groupBy("code").agg(F.count("*").alias("_n"))
+        large = sizes.filter(F.col("_n") > FINISH).select("code")
+        if cut is not None:
+            large = cut(large)
+        done.append(finish_nodes(rest.join(large, "code", "left_anti"), x, y, z, order, limits, level, keep))
+        if cut is not None and large.isEmpty():
+            break
+        split = first_of_each(rest.join(large, "code", "left_semi"), ["code"], order, F.lit(limits[level]), limits[level], order)
         if cut is not None:
             split = cut(split)
-        done.append(split.filter("_own").drop("_own"))
+        done.append(split.filter("_own").select(*keep, F.col("code").alias("node_code")))
         rest = descend(split.filter("not _own").drop("_own"), 1, "octant", x, y, z)
-        if cut is not None and rest.isEmpty():
-            break
-        limit = min(most, int(limit * growth))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.withColumnRenamed("code", "node_code").drop("nx0", "nx1", "ny0", "ny1", "nz0", "nz1")
+    return out
 
 
 def path_code(depth: int, kind: str, x: str, y: str, z: str | None, box: tuple[float, ...]) -> Column:

@@ -131,10 +131,14 @@ def decoded_points(spark: SparkSession, o: Options) -> DataFrame:
 
 
 def checkpointer(spark: SparkSession):
-    """Reliable checkpoints in the shared folder of the session."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{store.shared_folder(spark)}/checkpoints")
-    return lambda df: df.checkpoint()
+    """Writes a table to the shared folder of the session and reads it back: ends its lineage, and survives lost executors."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        folder = store.fresh_folder(spark, "table")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    return cut
 
 
 def grounded(df: DataFrame, o: Options, lon: str, lat: str, *heights: str, clamp: Column | None = None) -> DataFrame:

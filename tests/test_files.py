@@ -185,6 +185,23 @@ def test_tiles_and_tileset(spark, sf_dir, tmp_path):
         encode.tileset([], 1.0)
 
 
+def test_point_tree_by_tasks_and_by_levels(spark, sf_dir, monkeypatch):
+    """Large nodes that split across tasks and small ones that a task finishes give the same tree, ties and nulls in the order included."""
+    from quadrille.plans.flows import checkpointer
+    from quadrille.plans.queries import POINT_KEY, ROOT
+    from quadrille.plans.views import view
+
+    points = view(spark, sf_dir, "points").withColumn("tag", F.when(F.col("l_suppkey") % 2 == 0, F.lit("x")))
+    order = ["tag", "r16", *POINT_KEY]
+    trees = []
+    for most in (10, 300, 10**6):
+        monkeypatch.setattr(tiling, "FINISH", most)
+        tree = tiling.point_lod_tree(points, "lon", "lat", "h", order, ROOT, 20, 100, depth=4, cut=checkpointer(spark))
+        assert tree.columns == [*points.columns, "node_code"]
+        trees.append(sorted(map(tuple, tree.collect()), key=repr))
+    assert trees[0] == trees[1] == trees[2] and len(trees[0]) == points.count()
+
+
 def test_instances_and_features_as_glb():
     data = encode.mesh_glb(CUBE, FACES, mesh.vertex_normals(CUBE, FACES), np.zeros(8), properties={"name": ["é", None], "kind": ["a", "b", "c"]})
     doc, body = meshes.glb_parts(data)
