@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quadrille.operators import tiling
 
 BOX = ("minx", "miny", "minz", "maxx", "maxy", "maxz")
 
@@ -66,11 +67,10 @@ def crosses_plane(box: list[Column], normal: tuple[float, float, float], d: floa
     return (low + d <= 0) & (high + d >= 0)
 
 
-def stride_sample(df: DataFrame, file: list[str], order: list[str], percent: float) -> DataFrame:
-    """Every ceil(100 / percent)-th row of each file in its order; percent is held between 1 and 100."""
+def stride_sample(df: DataFrame, file: list[str], order: list[str], percent: float, cut) -> DataFrame:
+    """Every ceil(100 / percent)-th row of each file in its order; percent is held between 1 and 100. A file may be of any size (see tiling.placed)."""
     step = -int(-100 // max(1.0, min(100.0, percent)))
-    place = F.row_number().over(Window.partitionBy(*file).orderBy(*order)) - 1
-    return df.withColumn("_place", place).filter(F.col("_place") % step == 0).drop("_place")
+    return tiling.placed(df, file, order, "_place", cut).filter((F.col("_place") - 1) % step == 0).drop("_place")
 
 
 def polygon_rings(ring: Column) -> Column:

@@ -7,12 +7,15 @@ the first levels use a rank made of bounded parts (see `first_of_each`).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quadrille.functions import geo
@@ -35,6 +38,46 @@ def first_of_each(df: DataFrame, node: list[str], order: list[str], limit: Colum
     return early.unionByName(late).drop("_part", "_local")
 
 
+def placed(df: DataFrame, group: list[str], order: list[str], out: str, cut, size: Column | None = None) -> DataFrame:
+    """df with the place (from 1) of each row in its group's order, or with the sum of size over the rows before it.
+
+    Rows are dealt by ranges of (group, order), so that a group of any size spreads over many tasks, each of which sorts its own range;
+    what comes before a range is the sum of the ranges before it, a row for each group and range. `cut` writes the sorted rows once,
+    as the ranges must not move between the two passes."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    amount = F.lit(1).cast("long") if size is None else size.cast("long")
+    ranges = df.withColumn("_size", amount).repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    # within a task: what the sorted rows of the same group and range before this one come to
+    schema = StructType([*ranges.schema.fields, StructField("_range", LongType()), StructField("_before", LongType())])
+
+    def run(batches):
+        mine, last, total = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = [b.column(b.schema.get_field_index(c)).dictionary_encode() for c in group]
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                ids = k.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= ids[1:] != ids[:-1]
+            ends = tuple(b.column(b.schema.get_field_index(c))[0].as_py() for c in group), tuple(b.column(b.schema.get_field_index(c))[b.num_rows - 1].as_py() for c in group)
+            carried = total if ends[0] == last else 0
+            run_sum = np.cumsum(sizes) - sizes
+            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
+            before = run_sum - run_sum[start] + np.where(start == 0, carried, 0)
+            last, total = ends[1], int(before[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, mine, np.int64)), pa.array(before)], names=[*b.schema.names, "_range", "_before"])
+
+    rows = cut(ranges.mapInArrow(run, schema))
+    sums = rows.groupBy(*group, "_range").agg(F.sum("_size").alias("_sum"))
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_range").alias("_part"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]) & (F.col("_range") == F.col("_part"))
+    value = F.col("_ahead") + F.col("_before") + (1 if size is None else 0)
+    return rows.join(offsets, same).select(*df.columns, value.alias(out))
+
+
 def halve(axis: str, above: Column) -> list[Column]:
     """New ends of an axis of a node after its midpoint split."""
     low, high = F.col(f"n{axis}0"), F.col(f"n{axis}1")

@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quadrille.functions import geo
 from quadrille.operators import encode, mesh, tiling
@@ -286,8 +285,9 @@ def bake_transform(v: View) -> DataFrame:
 
 @query(f"select l_suppkey, count(*) as n, max(place) as last from (select l_suppkey, row_number() over (partition by l_suppkey order by {base.ORDER_SQL}) as place from points) group by l_suppkey")
 def file_order(v: View) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy(*base.POINT_ORDER)
-    return v("points").select("l_suppkey", F.row_number().over(w).alias("place")).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("place").alias("last"))
+    points = v("points")
+    placed = tiling.placed(points, ["l_suppkey"], base.POINT_ORDER, "place", base.checkpointer(points.sparkSession))
+    return placed.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("place").alias("last"))
 
 
 @query("select feature_id, round(sqrt(dx * dx + dy * dy + 1e0), 4) as diagonal from (select feature_id, " + base.R_MID + " * cos((radians(miny) + radians(maxy)) / 2e0) * (radians(maxx) - radians(minx)) as dx, (" + base.R_A + " + " + base.R_B + ") / 2e0 * (radians(maxy) - radians(miny)) as dy from features)")

@@ -66,7 +66,8 @@ def bucket_id(v: View) -> DataFrame:
 
 @query(f"select {', '.join(POINT_KEY)}, lon, lat, h from (select *, row_number() over (partition by l_suppkey order by {ORDER_SQL}) - 1 as i from points) where i % 4 = 0")
 def stride_sample(v: View) -> DataFrame:
-    return filters.stride_sample(v("points"), ["l_suppkey"], POINT_ORDER, 30).select(*POINT_KEY, "lon", "lat", "h")
+    p = v("points")
+    return filters.stride_sample(p, ["l_suppkey"], POINT_ORDER, 30, checkpointer(p.sparkSession)).select(*POINT_KEY, "lon", "lat", "h")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(trunc(cast(r16 as double) / 65535e0 * 255e0) as int) as r, cast(trunc(cast(g16 as double) / 65535e0 * 255e0) as int) as g, cast(trunc(cast(b16 as double) / 65535e0 * 255e0) as int) as b, r16 % 256 as r_low, 129 as none from points")
@@ -243,12 +244,14 @@ def batch_table(v: View) -> DataFrame:
 
 @query("select feature_id, category, row_number() over (partition by category order by feature_id) - 1 as batch_id from features")
 def batch_ordinal(v: View) -> DataFrame:
-    return v("features").select("feature_id", "category", (F.row_number().over(Window.partitionBy("category").orderBy("feature_id")) - 1).alias("batch_id"))
+    f = v("features").select("feature_id", "category")
+    return tiling.placed(f, ["category"], ["feature_id"], "place", checkpointer(f.sparkSession)).select("feature_id", "category", (F.col("place") - 1).alias("batch_id"))
 
 
 @query("select feature_id, category, row_number() over (partition by category order by feature_id) as serial from features")
 def serial_number(v: View) -> DataFrame:
-    return v("features").select("feature_id", "category", F.row_number().over(Window.partitionBy("category").orderBy("feature_id")).alias("serial"))
+    f = v("features").select("feature_id", "category")
+    return tiling.placed(f, ["category"], ["feature_id"], "serial", checkpointer(f.sparkSession))
 
 
 # ---- joins
@@ -490,7 +493,8 @@ def instance_divide(v: View) -> DataFrame:
 
 @query(f"select {', '.join(POINT_KEY)}, cx, cy, row_number() over (partition by cx, cy order by {ORDER_SQL}) as place from (select *, {CELL} from points)")
 def hash_shuffle_order(v: View) -> DataFrame:
-    return celled(v).select(*POINT_KEY, "cx", "cy", F.row_number().over(Window.partitionBy("cx", "cy").orderBy(*POINT_ORDER)).alias("place"))
+    points = celled(v)
+    return tiling.placed(points, ["cx", "cy"], POINT_ORDER, "place", checkpointer(points.sparkSession)).select(*POINT_KEY, "cx", "cy", "place")
 
 
 @query(f"select code, length(code) as size, rank() over (order by length(code), code) as place from (select code from {sql_descend(3, 'quad')} s group by code)")
@@ -655,9 +659,8 @@ def voxel_expand(v: View) -> DataFrame:
 @query("select feature_id, category, cast(coalesce(sum(strlen(s)) over (partition by category order by feature_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, strlen(s) as size from (select feature_id, category, case when kind is null or kind = '' or feature_id % 13 = 0 then ' ' else kind end as s from features)")
 def string_table_offsets(v: View) -> DataFrame:
     s = F.when(F.col("kind").isNull() | (F.col("kind") == "") | (F.col("feature_id") % 13 == 0), " ").otherwise(F.col("kind"))
-    before = Window.partitionBy("category").orderBy("feature_id").rowsBetween(Window.unboundedPreceding, -1)
     f = v("features").select("feature_id", "category", F.octet_length(s).cast("bigint").alias("size"))
-    return f.select("feature_id", "category", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), "size")
+    return tiling.placed(f, ["category"], ["feature_id"], "start", checkpointer(f.sparkSession), F.col("size"))
 
 
 @query("""select feature_id, coalesce(try_cast(case when t like '%이상%미만' then replace(split_part(t, '이상', 2), '미만', '') when t like '%미만' then replace(t, '미만', '') when t like '%이상' then replace(t, '이상', '') else t end as double), 5e0) as height from

@@ -202,6 +202,20 @@ def test_point_tree_by_tasks_and_by_levels(spark, sf_dir, monkeypatch):
     assert trees[0] == trees[1] == trees[2] and len(trees[0]) == points.count()
 
 
+def test_places_in_groups_over_many_ranges(spark):
+    from quadrille.plans.flows import checkpointer
+
+    rows = [(None if k % 3 == 0 else "big" if k % 3 == 1 else f"g{k % 7}", (k * 7919) % 100_003, k % 5) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "g string, o long, size int").repartition(5)
+    want, sums, seen = {}, {}, {}
+    for g, o, size in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        n, total = seen.get(g, (0, 0))
+        want[g, o], sums[g, o], seen[g] = n + 1, total, (n + 1, total + size)
+    assert {(r.g, r.o): r.place for r in tiling.placed(df, ["g"], ["o"], "place", checkpointer(spark)).collect()} == want
+    assert {(r.g, r.o): r.start for r in tiling.placed(df, ["g"], ["o"], "start", checkpointer(spark), F.col("size")).collect()} == sums
+    assert tiling.placed(df.limit(0), ["g"], ["o"], "place", checkpointer(spark)).count() == 0
+
+
 def test_instances_and_features_as_glb():
     data = encode.mesh_glb(CUBE, FACES, mesh.vertex_normals(CUBE, FACES), np.zeros(8), properties={"name": ["é", None], "kind": ["a", "b", "c"]})
     doc, body = meshes.glb_parts(data)
