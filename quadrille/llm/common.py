@@ -88,17 +88,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs, written once with _row: a key of each row, whatever its doc_id."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once with a key of each row whatever its doc_id; and the name of the key, one that docs does not use."""
+    name, used = "_row", {c.lower() for c in docs.columns}
+    while name in used:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def first_of_each(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """keyed rows without those of a group (labels: row, root) but the one of the smallest doc_id, null last; rows without a group stay."""
-    named = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("id")).join(labels, "row")
+def without(rows: DataFrame, key: str, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs of those keyed rows that are not in gone (row)."""
+    left = rows.join(materialise(gone.select(F.col("row").alias(key)), "gone"), key, "left_anti")
+    return left.drop(key).select(*[f"`{c}`" for c in docs.columns])
+
+
+def later_of_each(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """row of the keyed rows in a group (labels: row, root) but the one of the smallest doc_id, null last; rows without a group are not in it."""
+    named = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id")).join(labels, "row")
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select(F.col("m.row").alias("row"))
-    gone = materialise(labels.join(stay, "row", "left_anti").select(F.col("row").alias("_row")), "gone")
-    return rows.join(gone, "_row", "left_anti")
+    return labels.join(stay, "row", "left_anti").select("row")
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:

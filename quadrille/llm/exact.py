@@ -258,9 +258,9 @@ def exact_groups(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps, decided for each row by a key of its own."""
-    rows = common.keyed(docs)
-    gone = common.materialise(exact_groups(rows, ("_row",)).filter("not kept").select("_row"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows, key = common.keyed(docs)
+    given = rows.select("doc_id", "text", F.col(key).alias("row"))
+    return common.without(rows, key, exact_groups(given, ("row",)).filter("not kept").select("row"), docs)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

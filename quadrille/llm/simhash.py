@@ -274,9 +274,9 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 def drop_near(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """docs with one row, that of the smallest doc_id (null last), of each component; each row is decided by a key of its own."""
-    rows = common.keyed(docs)
-    found = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius)
-    return common.first_of_each(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))).select(*docs.columns)
+    rows, key = common.keyed(docs)
+    found = near_groups(rows.select(F.col(key).alias("doc_id"), "text"), width, radius)
+    return common.without(rows, key, common.later_of_each(rows, key, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))), docs)
 
 
 def hex64(column: str):
