@@ -16,7 +16,7 @@ Every row of the input gives one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from quadrille.llm import common, ngrams
 
 #: Labelled rows that are fitted, and hash bits of the buckets of each kind of n-gram.
 SAMPLE, BITS = 4000, 16
-#: n-gram counts that are fitted, which bounds what the driver holds (eight bytes each).
-GRAMS = 24_000_000
+#: n-gram counts that are fitted, which bounds what the driver holds (four bytes each, as a rule); parts in which it takes them.
+GRAMS, PARTS = 24_000_000, 8
 #: Size of the vectors, passes over the sample, first step of the descent.
 DIM, EPOCHS, RATE = 12, 12, 2.0
 CHARS = (3, 4)
@@ -59,19 +59,49 @@ def gram_groups(raw: np.ndarray, offsets: np.ndarray):
     yield two + (len(CHARS) + 1 << BITS), np.minimum(first[:-1], len(two)), np.minimum(np.maximum(first[1:] - 1, first[:-1]), len(two))
 
 
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights; the weights of each kind of n-gram sum to one."""
+def counts_of(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each kind of n-gram, the buckets of a text and how often they occur."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    ids, weights = [], []
-    for b, a, z in gram_groups(raw, np.array([0, len(raw)], np.int64)):
-        if z[0] > a[0]:
-            u, c = np.unique(b[a[0] : z[0]], return_counts=True)
-            ids.append(u)
-            weights.append(c / (KINDS * c.sum()))
-    return (np.concatenate(ids), np.concatenate(weights)) if ids else (np.empty(0, np.int64), np.empty(0))
+    ids, counts = [], []
+    for kind, (b, a, z) in enumerate(gram_groups(raw, np.array([0, len(raw)], np.int64))):
+        u, c = np.unique(b[a[0] : z[0]] - (kind << BITS), return_counts=True)
+        ids.append(u)
+        counts.append(c)
+    return ids, counts
+
+
+def packed(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[bytes, bytes, int]:
+    """The number of buckets of each kind, then the buckets, two bytes each; the counts in two bytes each or, where one is larger, four."""
+    every = np.concatenate(counts)
+    head = np.array([len(x) for x in ids], np.uint32).tobytes()
+    return head + np.concatenate(ids).astype(np.uint16).tobytes(), every.astype(np.uint16 if every.max(initial=0) < 1 << 16 else np.uint32).tobytes(), len(every)
+
+
+class Packed(Sequence):
+    """(buckets, weights, label) of training rows, unpacked when they are asked for: four bytes a bucket are held instead of twelve."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]]):
+        self.rows = [(y, ids, counts) for _, y, ids, counts in rows]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k):
+        y, ids, counts = self.rows[k]
+        sizes = np.frombuffer(ids, np.uint32, KINDS)
+        own = np.frombuffer(ids, np.uint16, offset=4 * KINDS)
+        n = np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(own) else np.uint32).astype(np.float64)
+        kind = np.repeat(np.arange(KINDS), sizes)
+        return own + (kind << BITS), n / (KINDS * np.bincount(kind, n, KINDS))[kind], y
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their weights; the weights of each kind of n-gram sum to one part of KINDS."""
+    ids, counts, _ = packed(*counts_of(text))
+    return Packed([(0, 0, ids, counts)])[0][:2]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
     """Logit of label 1 per bucket, and the bias, from (buckets, weights, label) rows."""
     labels = np.array([y for _, _, y in rows], np.int64)
     if not len(labels):
@@ -122,26 +152,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     def run(batches):
         for b in batches:
-            found = [counted(t) for t in b.column(1).to_pylist()]
-            lists = [pa.array([x.astype(t) for x in column], pa.list_(pa.from_numpy_dtype(t))) for column, t in zip(zip(*found, strict=True) if found else ((), ()), (np.int32, np.float32), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists, b.column(2)], names=["_id", "ids", "weights", "_y"])
+            found = [packed(*counts_of(t)) for t in b.column(1).to_pylist()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, b.column(2)], names=["_id", "ids", "counts", "n", "_y"])
 
     ids = marked.select("_id").distinct()
     own = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    held = common.materialise(own.join(F.broadcast(marked), "_id").select("_id", "text", "_y").mapInArrow(run, "_id long, ids array<int>, weights array<float>, _y int"), "counts")
-    sizes = held.select("_id", F.size("ids").cast("long").alias("n")).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
+    held = common.materialise(own.join(F.broadcast(marked), "_id").select("_id", "text", "_y").mapInArrow(run, "_id long, ids binary, counts binary, n long, _y int"), "counts")
     total, taken = 0, set()
-    for r in sizes:
+    for r in held.select("_id", "n").orderBy(F.xxhash64("_id"), "_id").limit(sample).collect():
         if (total := total + r["n"]) > GRAMS and taken:
             break
         taken.add(r["_id"])
-    if not taken:
-        return train([])
     rows = []
-    for b in held.filter(F.col("_id").isin(list(taken))).limit(sample).toArrow().to_batches():
-        ends, ids, weights = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(), b.column(2).values.to_numpy()
-        rows += [(i, y, ids[a:z], weights[a:z]) for i, y, a, z in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), ends, ends[1:], strict=False)]
-    return train([(ids, weights, y) for _, y, ids, weights in sorted(rows, key=lambda r: r[:2])])
+    chosen = held.filter(F.col("_id").isin(list(taken))) if taken else held.limit(0)
+    for part in range(PARTS):  # the driver's JVM never holds more than a part of them
+        for b in chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(PARTS)) == part).limit(sample).toArrow().to_batches():
+            rows += zip(*(b.column(k).to_pylist() for k in (0, 4, 1, 2)), strict=True)
+    return train(Packed(sorted(rows)))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
