@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -69,6 +69,7 @@ class Codec:
         for token, i in ranks.items():
             self.vocab[i] = token
         self.lengths = [len(token) for token in self.vocab]
+        self.names = [str(i) for i in range(len(self.vocab))]
         self.automaton = ahocorasick.Automaton()
         #: The longest token that is a shorter prefix of each token, -1 where there is none.
         self.shorter = [-1] * len(self.vocab)
@@ -114,24 +115,21 @@ class Codec:
         longest = [-1] * (size + 1)
         for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length] = token  # ends only grow, so the last one is the longest
-        dead = bytearray(size + 1)  # positions from which no valid rest exists after what stands before
+        dead: set[int] = set()  # positions from which no valid rest exists after what stands before
         lengths, shorter, known = self.lengths, self.shorter, self.pairs.get
         out: list[int] = []
         at, token, last = 0, longest[0], -1
         while at < size:
             while token >= 0:
                 end = at + lengths[token]
-                if not dead[end]:
-                    if last < 0:
-                        break
-                    ok = known(last << 32 | token)
-                    if ok or ok is None and self.fits(last, token):
+                if end not in dead:
+                    if last < 0 or (ok := known(last << 32 | token)) or ok is None and self.fits(last, token):
                         break
                 token = shorter[token]
             if token < 0:
                 if last < 0:
                     raise ValueError("the vocabulary lacks a byte of the text")
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
                 at -= lengths[token]
                 last = out[-1] if out else -1
@@ -141,13 +139,14 @@ class Codec:
                 token = longest[at]
         return out
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
+    def piece(self, text: str) -> tuple[tuple[int, ...], str, bytes]:
+        """The ids of a piece, as text, and the bytes that they decode to."""
         found = self.cache.get(text)
         if found is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             ids = tuple(self.encode_piece(text.encode()))
-            found = ids, " ".join(map(str, ids))
+            found = ids, " ".join([self.names[i] for i in ids]), self.decode(ids)
             if len(text) < 64:
                 self.cache[text] = found
         return found
@@ -164,7 +163,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [i for block in self.pieces(text) for p in block for i in self.piece(p)[0]]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.vocab[i] for i in ids])
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -172,13 +171,17 @@ class Codec:
         n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
         get, piece = self.cache.get, self.piece
         for block in self.pieces(text):
-            found = [get(p) or piece(p) for p in block]
-            ids = list(chain.from_iterable([x[0] for x in found]))
-            if n and ids:
+            found = list(map(get, block))
+            if None in found:
+                found = [f or piece(p) for f, p in zip(found, block, strict=True)]
+            if not found:
+                continue
+            ids, said, decoded = zip(*found, strict=True)
+            if n:
                 ids_hash.update(b" ")
-            ids_hash.update(" ".join([x[1] for x in found]).encode())
-            bytes_hash.update(self.decode(ids))
-            n += len(ids)
+            ids_hash.update(" ".join(said).encode())
+            bytes_hash.update(b"".join(decoded))
+            n += sum(map(len, ids))
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 
