@@ -155,26 +155,29 @@ def point_lod_tree(points: DataFrame, x: str, y: str, z: str, order: list[str],
     points that large nodes hand down, never those that are settled.
     """
     keep = points.columns
+    write = cut or (lambda df: df)
     x0, y0, z0, x1, y1, z1 = (float(v) for v in box)
     limits = [_limit(k, root_limit, most, growth) for k in range(depth)]
-    rest = points.select("*", F.lit("R").alias("code"), *[F.lit(v).alias(n) for n, v in zip(_BOX, (x0, x1, y0, y1, z0, z1), strict=True)])
+    # a number for each row, written with it where cut is given
+    rest = write(points.select("*", F.lit("R").alias("code"), *[F.lit(v).alias(n) for n, v in zip(_BOX, (x0, x1, y0, y1, z0, z1), strict=True)], F.monotonically_increasing_id().alias("_id")))
     done = []
     for level in range(depth + 1):
         if level == depth:
             done.append(rest.select(*keep, F.col("code").alias("node_code")))
             break
-        sizes = rest.groupBy("code").agg(F.count("*").alias("_n"))
-        large = sizes.filter(F.col("_n") > FINISH).select("code")
-        if cut is not None:
-            large = cut(large)
+        large = write(rest.groupBy("code").agg(F.count("*").alias("_n")).filter(F.col("_n") > FINISH).select("code"))
         done.append(finish_nodes(rest.join(large, "code", "left_anti"), x, y, z, order, limits, level, keep))
         if cut is not None and large.isEmpty():
             break
-        split = first_of_each(rest.join(large, "code", "left_semi"), ["code"], order, F.lit(limits[level]), limits[level], order)
-        if cut is not None:
-            split = cut(split)
-        done.append(split.filter("_own").select(*keep, F.col("code").alias("node_code")))
-        rest = descend(split.filter("not _own").drop("_own"), 1, "octant", x, y, z)
+        mine = rest.join(large, "code", "left_semi")
+        # the first of a node are few: they are found among the first of its parts, and only their numbers travel
+        part = F.pmod(F.xxhash64("_id"), F.lit(SALT)).alias("_part")
+        local = F.row_number().over(Window.partitionBy("code", "_part").orderBy(*order, "_id"))
+        early = mine.select("code", "_id", *order, part).withColumn("_place", local).filter(F.col("_place") <= limits[level])
+        whole = F.row_number().over(Window.partitionBy("code").orderBy(*order, "_id"))
+        first = write(early.withColumn("_place", whole).filter(F.col("_place") <= limits[level]).select("_id"))
+        done.append(mine.join(first, "_id", "left_semi").select(*keep, F.col("code").alias("node_code")))
+        rest = write(descend(mine.join(first, "_id", "left_anti"), 1, "octant", x, y, z))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

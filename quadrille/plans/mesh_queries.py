@@ -216,7 +216,7 @@ def encode_point_tiles(v: View) -> DataFrame:
     from quadrille.sources.meshes import unpack_tile
 
     points = v("points").withColumns({c: (F.col(f"{c}16") / 257).cast("int") for c in "rgb"})
-    tree = tiling.point_lod_tree(points, "lon", "lat", "h", base.POINT_ORDER, base.ROOT, 200, 800, depth=2)
+    tree = tiling.point_lod_tree(points, "lon", "lat", "h", base.POINT_ORDER, base.ROOT, 200, 800, depth=2, cut=base.checkpointer(points.sparkSession))
     tiles = encode.encode_pnts(tree, "node_code", "lon", "lat", "h", ("r", "g", "b"), "intensity", "classification")
 
     def run(batches):
