@@ -588,9 +588,11 @@ def cut_fast(v: View) -> DataFrame:
 
 @query("select feature_id, case when b // 1073741824 > 0 then (b // 1073741824)::varchar || 'GB' when b // 1048576 > 0 then (b // 1048576)::varchar || 'MB' when b // 1024 > 0 then (b // 1024)::varchar || 'KB' else b::varchar || 'bytes' end as shown from (select feature_id, feature_id * feature_id * feature_id * 7 as b from features)")
 def byte_display(v: View) -> DataFrame:
+    # whole decimals of 38 digits: the product outgrows 64 bits from id 1,096,238 on, and a double would round its quotient
+    k = F.col("feature_id").cast("decimal(20,0)")
     b = F.col("b")
-    unit = lambda n, name: F.concat(F.floor(b / n).cast("string"), F.lit(name))
-    return v("features").select("feature_id", (F.col("feature_id") * F.col("feature_id") * F.col("feature_id") * 7).alias("b")).select("feature_id", F.when(b >= 1 << 30, unit(1 << 30, "GB")).when(b >= 1 << 20, unit(1 << 20, "MB")).when(b >= 1 << 10, unit(1 << 10, "KB")).otherwise(F.concat(b.cast("string"), F.lit("bytes"))).alias("shown"))
+    unit = lambda n, name: F.concat(((b - b % n) / n).cast("decimal(38,0)").cast("string"), F.lit(name))
+    return v("features").select("feature_id", (k * k * k * 7).alias("b")).select("feature_id", F.when(b >= 1 << 30, unit(1 << 30, "GB")).when(b >= 1 << 20, unit(1 << 20, "MB")).when(b >= 1 << 10, unit(1 << 10, "KB")).otherwise(F.concat(b.cast("string"), F.lit("bytes"))).alias("shown"))
 
 
 @query("select feature_id, case when t // 3600000 > 0 then (t // 3600000)::varchar || 'h ' else '' end || case when t % 3600000 // 60000 > 0 then (t % 3600000 // 60000)::varchar || 'm ' else '' end || case when t % 60000 // 1000 > 0 then (t % 60000 // 1000)::varchar || 's ' else '' end || (t % 1000)::varchar || 'ms' as shown from (select feature_id, feature_id * 123457 as t from features)")
