@@ -5,8 +5,8 @@ softmax turn the mean into the probability of label 1. Because mean and output a
 into one logit per bucket after training, and scoring a whole text is a sum of table look-ups over its bytes.
 
 Training uses at most SAMPLE labelled rows (those of the smallest hash of doc_id), whole texts, only rows whose
-crc32(doc_id as text) mod 4 is not 2, and of them as many, in that order, as come to GRAMS counts. It runs once on the driver over their
-n-gram counts; executors do the counting. Of documents that repeat a doc_id the text of the smallest hash is taken.
+crc32(doc_id as text) mod 4 is not 2, and of them as many, in that order, as come to GRAMS counts. It runs once, in one task over their
+n-gram counts that all executors make; only the model comes to the driver. Of documents that repeat a doc_id the text of the smallest hash is taken.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Rows: null and empty texts score by the bias alone. Labels without doc_id or quality are left out; documents labelled
@@ -27,8 +27,8 @@ from quadrille.llm import common, ngrams
 
 #: Labelled rows that are fitted, and hash bits of the buckets of each kind of n-gram.
 SAMPLE, BITS = 4000, 16
-#: n-gram counts that are fitted, which bounds what the driver holds (four bytes each, as a rule); parts in which it takes them.
-GRAMS, PARTS = 24_000_000, 8
+#: n-gram counts that are fitted, which bounds what the task of the descent holds (four bytes each, as a rule).
+GRAMS = 24_000_000
 #: Size of the vectors, passes over the sample, first step of the descent.
 DIM, EPOCHS, RATE = 12, 12, 2.0
 CHARS = (3, 4)
@@ -95,14 +95,41 @@ class Packed(Sequence):
         return own + (kind << BITS), n / (KINDS * np.bincount(kind, n, KINDS))[kind], y
 
 
+class Held:
+    """Packed training rows (_id, _y, ids, counts) that stay with the executors: how many, and the model that one task makes of them.
+
+    The driver holds neither the counts nor the arrays of the descent."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        self.rows, self.n = rows, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def trained(self, seed: int) -> tuple[np.ndarray, float]:
+        def run(batches):
+            rows = []
+            for b in batches:
+                rows += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            logit, bias = train(Packed(sorted(rows)), seed)
+            yield pa.RecordBatch.from_arrays([pa.array([logit.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["logit", "bias"])
+
+        if not self.n:
+            return train((), seed)
+        model = self.rows.select("_id", "_y", "ids", "counts").coalesce(1).mapInArrow(run, "logit binary, bias double").first()
+        return np.frombuffer(model["logit"], np.float32), model["bias"]
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights; the weights of each kind of n-gram sum to one part of KINDS."""
     ids, counts, _ = packed(*counts_of(text))
     return Packed([(0, 0, ids, counts)])[0][:2]
 
 
-def train(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logit of label 1 per bucket, and the bias, from (buckets, weights, label) rows."""
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray, int]] | Held, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logit of label 1 per bucket, and the bias, from (buckets, weights, label) rows; rows that executors hold are trained on there."""
+    if isinstance(rows, Held):
+        return rows.trained(seed)
     labels = np.array([y for _, _, y in rows], np.int64)
     if not len(labels):
         return np.zeros(KINDS << BITS, np.float32), 0.0
@@ -159,17 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     ids = marked.select("_id").distinct()
     own = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     held = common.materialise(own.join(F.broadcast(marked), "_id").select("_id", "text", "_y").mapInArrow(run, "_id long, ids binary, counts binary, n long, _y int"), "counts")
-    total, taken = 0, set()
-    for r in held.select("_id", "n").orderBy(F.xxhash64("_id"), "_id").limit(sample).collect():
-        if (total := total + r["n"]) > GRAMS and taken:
+    place = F.xxhash64("_id").alias("place")
+    rows = [(r["place"], r["_id"], r["n"]) for r in held.select(place, "_id", "n").orderBy("place", "_id").limit(sample).collect()]
+    total, last = 0, (0, 0)
+    for k, (*at, n) in enumerate(rows):
+        if (total := total + n) > GRAMS and k:
             break
-        taken.add(r["_id"])
-    rows = []
-    chosen = held.filter(F.col("_id").isin(list(taken))) if taken else held.limit(0)
-    for part in range(PARTS):  # the driver's JVM never holds more than a part of them
-        for b in chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(PARTS)) == part).limit(sample).toArrow().to_batches():
-            rows += zip(*(b.column(k).to_pylist() for k in (0, 4, 1, 2)), strict=True)
-    return train(Packed(sorted(rows)))
+        last = tuple(at)
+    chosen = held.filter((place < last[0]) | ((place == last[0]) & (F.col("_id") <= last[1])))
+    return train(Held(chosen, sum((p, i) <= last for p, i, _ in rows)))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -59,3 +59,13 @@ def test_boundary_edges_as_by_plain_code():
             else:
                 left[a, b] = left.get((a, b), 0) + 1
         assert sorted(map(tuple, mesh.boundary_edges(f).tolist())) == sorted(ab for ab, k in left.items() for _ in range(k))
+
+
+def test_quality_is_trained_outside_the_driver(spark, sf_dir, monkeypatch):
+    """The driver's process gets the model only: counts and descent are an executor's."""
+    from quadrille.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality.Packed, "__getitem__", lambda self, k: pytest.fail("a training row is unpacked in the driver"))
+    logit, bias = quality.fit(docs, labels)
+    assert logit.shape == (quality.KINDS << quality.BITS,) and np.abs(logit).max() > 0 and np.isfinite(bias)
