@@ -588,7 +588,7 @@ def cut_fast(v: View) -> DataFrame:
 
 @query("select feature_id, case when b // 1073741824 > 0 then (b // 1073741824)::varchar || 'GB' when b // 1048576 > 0 then (b // 1048576)::varchar || 'MB' when b // 1024 > 0 then (b // 1024)::varchar || 'KB' else b::varchar || 'bytes' end as shown from (select feature_id, feature_id * feature_id * feature_id * 7 as b from features)")
 def byte_display(v: View) -> DataFrame:
-    # whole decimals of 38 digits: the product outgrows 64 bits from id 1,096,238 on, and a double would round its quotient
+    # whole decimals of 38 digits: the product outgrows 64 bits from id 1,096,303 on, and a double would round its quotient
     k = F.col("feature_id").cast("decimal(20,0)")
     b = F.col("b")
     unit = lambda n, name: F.concat(((b - b % n) / n).cast("decimal(38,0)").cast("string"), F.lit(name))

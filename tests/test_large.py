@@ -18,7 +18,7 @@ def parts(path, keys):
 
 
 def test_byte_display_of_products_beyond_64_bits(spark, tmp_path):
-    keys = [0, 1, 6, 7, 53, 54, 535, 536, 1_096_237, 1_096_238, 1_200_000, 50_000_000, 1_000_000_000_000]
+    keys = [0, 1, 6, 7, 53, 54, 535, 536, 1_096_302, 1_096_303, 1_200_000, 50_000_000, 1_000_000_000_000]
 
     def shown(b):
         return next((f"{b >> s}{u}" for s, u in ((30, "GB"), (20, "MB"), (10, "KB")) if b >> s), f"{b}bytes")
