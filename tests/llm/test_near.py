@@ -102,3 +102,24 @@ def test_stage_of_the_pipeline(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want, _ = brute_kept(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == sorted(rows[i][0] for i in want)
+
+
+def test_long_lists_are_divided(spark, monkeypatch):
+    """Near copies of one text, and texts that share a passage, in lists longer than SMALL: all links of brute force, with lists divided by differences."""
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    rng = random.Random(5)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 9])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([f"p{rng.randrange(10**6)}" for _ in range(25)] + base[:60] + ["q"] * 20) for _ in range(40)]
+    asked = []
+    divided = near.divided
+    monkeypatch.setattr(near, "divided", lambda pairs, *more: asked.append(1) or divided(pairs, *more))
+    rows = list(enumerate(texts))
+    want, pairs = brute_kept(rows)
+    got = sorted(r.doc_id for r in near.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and pairs > 50 and asked
